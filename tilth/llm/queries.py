@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe
+from tilth.llm import byte_bpe, fingerprint, media
 from tilth.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,21 @@ def multilingual_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), multilingual_ranks())
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_media": op3_media,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_fingerprint": op8_fingerprint,
 }
 SQL: dict[str, str] = {}
