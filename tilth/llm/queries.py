@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe, fingerprint, media
+from tilth.llm import byte_bpe, fingerprint, media, secrets
 from tilth.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def multilingual_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
@@ -31,8 +35,11 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_secrets": op2_secrets,
     "op3_media": op3_media,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_secrets": secrets.SQL,
+}
