@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe, fingerprint, media, secrets
+from tilth.llm import byte_bpe, fingerprint, media, mixture, secrets
 from tilth.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), multilingual_ranks())
 
@@ -37,6 +41,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_secrets": op2_secrets,
     "op3_media": op3_media,
+    "op4_mixture": op4_mixture,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
 }
