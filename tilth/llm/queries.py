@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe, fingerprint, media, mixture, secrets
-from tilth.llm.common import table
+from tilth.llm import byte_bpe, fingerprint, media, mixture, pii, secrets, token_counts
+from tilth.llm.common import cut, table
 
+#: A stand-in for the secret that a deployment brings; fixed, so that the query's rows can be compared.
+PSEUDONYM_KEY = "tilth-demonstration-key"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +32,15 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.lengths(table(spark, sf_dir, "documents").select("text"), multilingual_ranks())
+    return token_counts.answers(cut(token_counts.histogram(counted)))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), multilingual_ranks())
 
@@ -42,6 +53,8 @@ QUERIES: dict[str, Query] = {
     "op2_secrets": op2_secrets,
     "op3_media": op3_media,
     "op4_mixture": op4_mixture,
+    "op5_token_counts": op5_token_counts,
+    "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
 }
