@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe, fingerprint, media, mixture, pii, secrets, token_counts
+from tilth.llm import byte_bpe, fingerprint, media, mixture, pii, secrets, token_counts, toxicity
 from tilth.llm.common import cut, table
 
 #: A stand-in for the secret that a deployment brings; fixed, so that the query's rows can be compared.
@@ -49,6 +49,10 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_secrets": op2_secrets,
     "op3_media": op3_media,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
+    "op9_toxicity": op9_toxicity,
 }
 SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
