@@ -102,7 +102,9 @@ def slots(sources: DataFrame) -> DataFrame:
     rounds = rounds.withColumn("n_slots", n_slots)
     running = Window.orderBy("source_no", "round").rowsBetween(Window.unboundedPreceding, -1)
     rounds = rounds.withColumns({"first": F.coalesce(F.sum("n_slots").over(running), F.lit(0).cast("long")), "all_slots": F.sum("n_slots").over(Window.partitionBy(F.lit(0)))})
-    chunks = rounds.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk)))).repartition("source_no", "round", "chunk")
+    chunks = rounds.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk))))
+    # a set number of partitions, since the few small rows here are about to become many
+    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_no", "round", "chunk")
     each = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("n_slots")) - 1)))
     full = F.when(F.col("k") == F.col("short_at"), F.col("last")).otherwise(F.lit(BLOCK).cast("long"))
     words = F.least(full, F.col("take") - _words_before(F.col("k"), F.col("short_at")))
@@ -141,7 +143,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     low = F.greatest(F.col("at"), F.col("block") * BLOCK)
     high = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK)
     parts = parts.select("row", "source_no", "block", (low - F.col("at")).alias("start"), (low - F.col("block") * BLOCK).alias("from"), (high - low).alias("n"))
-    drawn = parts.join(slots(sources), ["source_no", "block"]).withColumn("words", F.least(F.col("n"), F.col("words") - F.col("from"))).where("words > 0")
+    drawn = parts.join(slots(sources).hint("merge"), ["source_no", "block"]).withColumn("words", F.least(F.col("n"), F.col("words") - F.col("from"))).where("words > 0")
     return rows, drawn.drop("from", "n")
 
 
