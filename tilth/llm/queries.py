@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe, fingerprint, media, mixture, pii, secrets, token_counts, toxicity
+from tilth.llm import byte_bpe, fingerprint, media, mixture, ngram_jaccard, pii, secrets, token_counts, toxicity
 from tilth.llm.common import cut, table
 
 #: A stand-in for the secret that a deployment brings; fixed, so that the query's rows can be compared.
@@ -53,6 +53,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_secrets": op2_secrets,
     "op3_media": op3_media,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
