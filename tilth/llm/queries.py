@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe, fingerprint, media, mixture, ngram_jaccard, pii, secrets, token_counts, toxicity
+from tilth.llm import byte_bpe, fingerprint, lm_score, media, mixture, ngram_jaccard, pii, secrets, token_counts, toxicity
 from tilth.llm.common import cut, table
 
 #: A stand-in for the secret that a deployment brings; fixed, so that the query's rows can be compared.
@@ -20,6 +20,10 @@ def multilingual_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_score": op1_lm_score,
     "op2_secrets": op2_secrets,
     "op3_media": op3_media,
     "op4_mixture": op4_mixture,
