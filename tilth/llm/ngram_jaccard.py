@@ -33,7 +33,7 @@ from tilth.llm.common import cut, whole
 #: Rows without an id stand under their text's hash, above all ids.
 NULL_ID = 1 << 62
 #: Bytes of text in a block of documents, which one task holds at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 
 
 def _threshold(percent: int):
@@ -176,7 +176,9 @@ def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     entries = index.where(F.size("head") > 0).select("node", "n", step.alias("step"), F.explode(F.arrays_zip("head", "place")).alias("e"))
     entries = entries.select(F.col("e.head").alias("token"), "step", "node", "n", F.col("e.place").alias("place"))
 
-    leaders = entries.groupBy("token", "step").agg(F.min(F.struct("node", "n", "place")).alias("leader"))
+    # the smaller set of a pair (the first of equals) meets the other early: past this place it can't share enough
+    early = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n")
+    leaders = entries.where(early).groupBy("token", "step").agg(F.min(F.struct("node", "n", "place")).alias("leader"))
     near = leaders.select("token", "step", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), "leader")
     starred = entries.join(near.select("token", F.col("at").alias("step"), "leader"), ["token", "step"])
     fits = _could_link(F.col("n"), F.col("leader.n"), F.col("place"), F.col("leader.place"), percent)
@@ -191,20 +193,24 @@ def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     first = judged(pairs)
     classes = components(first.where("linked"))
 
-    # lists whose members are still in different classes, members gathered by class
+    # lists whose members are still in different classes: blocks of (shingle, size step, class) meet first, and of the
+    # smaller sets only those entries that are early enough
     placed = entries.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = leaders.select("token", "step", F.col("leader.node").alias("leader"))
     known = first.select("x", "y", (1 - F.col("shared") / F.col("union")).alias("far"))
     known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "far"))
-    placed = placed.join(lead, ["token", "step"]).join(known.select(F.col("x").alias("node"), F.col("y").alias("leader"), "far"), ["node", "leader"], "left")
+    placed = placed.join(lead, ["token", "step"], "left").join(known.select(F.col("x").alias("node"), F.col("y").alias("leader"), "far"), ["node", "leader"], "left")
     placed = placed.withColumn("far", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")))
     placed = cut(placed.select("token", "step", "node", "n", "place", "component", "far"))
-    groups = placed.select("token", "step", "component").distinct()
-    other = groups.select("token", F.col("step").alias("step_y"), F.col("component").alias("component_y"))
-    apart = (F.col("component") != F.col("component_y")) & ((F.col("step_y") == F.col("step") - 1) | ((F.col("step_y") == F.col("step")) & (F.col("component") < F.col("component_y"))))
-    meet = groups.join(other, "token").where(apart)
-    right = placed.select("token", F.col("step").alias("step_y"), F.col("component").alias("component_y"), F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"), F.col("far").alias("far_y"))
-    crossed = meet.join(placed, ["token", "step", "component"]).join(right, ["token", "step_y", "component_y"])
+    # the largest partner that an entry can still share enough with
+    reach = F.floor(F.lit((100 + percent) / percent) * (F.col("n") - F.col("place")) - F.col("n") + 1e-6)
+    large = placed.groupBy("token", "step", "component").agg(F.max(F.least("n", reach)).alias("most"))
+    small = placed.where(early).groupBy("token", F.col("step").alias("step_y"), F.col("component").alias("component_y")).agg(F.min("n").alias("least_y"))
+    small = small.withColumn("step", F.explode(F.array(F.col("step_y"), F.col("step_y") + 1)))
+    meet = large.join(small, ["token", "step"]).where((F.col("component") != F.col("component_y")) & (F.col("least_y") <= F.col("most"))).select("token", "step", "component", "step_y", "component_y")
+    right = placed.where(early).select("token", F.col("step").alias("step_y"), F.col("component").alias("component_y"), F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"), F.col("far").alias("far_y"))
+    larger = (F.col("n") > F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("node") > F.col("node_y")))
+    crossed = meet.join(placed, ["token", "step", "component"]).join(right, ["token", "step_y", "component_y"]).where(larger)
     ruled_out = (F.col("step") == F.col("step_y")) & (F.abs(F.col("far") - F.col("far_y")) > 1 - percent / 100 + 1e-9)
     rest = crossed.where(_could_link(F.col("n"), F.col("n_y"), F.col("place"), F.col("place_y"), percent) & ~F.coalesce(ruled_out, F.lit(False)))
     rest = rest.select(F.least("node", "node_y").alias("x"), F.greatest("node", "node_y").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
