@@ -32,7 +32,7 @@ from tilth.llm.common import whole
 MASS, POWER = 0.8, 0.8
 ORDER = 2
 #: Bytes of text in a block, which one task holds at a time, and blocks a shard.
-BLOCK_BYTES, BLOCKS_A_SHARD = 8 << 20, 4
+BLOCK_BYTES, BLOCKS_A_SHARD = 8 << 20, 1
 START, END = (np.array([x], np.uint64) for x in (0x5374617274, 0x456E64))
 
 
