@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tilth.plans import aggregates, evaluations, observed, projections, relations, stateful  # noqa: F401  they register
+from tilth.plans.base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "portfolio_by_risk"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "agg_cohort"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
