@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilth.llm import byte_bpe, mixture, ngram_jaccard, secrets, toxicity
-from tilth.llm.common import cut, table
+from tilth.llm.common import cut, table, unused
 from tilth.llm.queries import multilingual_ranks
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; the model learns from labelled documents of the learning folds."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.fold() != 1)
-    return toxicity.score(docs, model, out_col="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = unused(docs, "score")
+    return toxicity.score(docs, model, out_col=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

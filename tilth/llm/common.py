@@ -42,3 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that lost executors cost no rerun of what came before."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df as one struct, `row`, beside the columns given; so no name of df's can clash with ours. Unbox with row.*"""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])

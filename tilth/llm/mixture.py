@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilth.llm.common import WORD, cut, words_in
+from tilth.llm.common import WORD, boxed, cut, words_in
 
 #: Weights by the source's place in the order, repeating; the mix's share of all words; how often a source may be taken.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -172,11 +172,10 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """
     counted = report_rows(df, id_col, text_col, source_col)
     copies = F.when((F.col("size") == 0) | (2 * F.col("taken") < F.col("size")), F.when((F.col("size") == 0) | (F.col("taken") > 0), 1).otherwise(0)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    key = F.xxhash64(F.lit("order"), F.col(id_col), F.col(text_col))
-    times = counted.groupBy("id", "place").agg(F.max(copies).alias("__times"))
-    times = times.select(F.col("id").alias("__id"), F.col("place").alias("__place"), "__times")
-    joined = df.join(times, df[id_col].eqNullSafe(times["__id"]) & (key == times["__place"]))
-    return joined.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(df.columns)
+    times = counted.groupBy("id", "place").agg(F.max(copies).alias("times")).where("times > 0").select(F.col("id").alias("counted_id"), F.col("place").alias("counted_place"), "times")
+    rows = boxed(df, id=F.col(id_col), place=F.xxhash64(F.lit("order"), F.col(id_col), F.col(text_col)))
+    joined = rows.join(times, F.col("id").eqNullSafe(F.col("counted_id")) & (F.col("place") == F.col("counted_place")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def report_rows(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.llm import grams
-from tilth.llm.common import cut, whole
+from tilth.llm.common import boxed, cut, whole
 
 #: Rows without an id stand under their text's hash, above all ids.
 NULL_ID = 1 << 62
@@ -251,8 +251,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 def firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
     """df with one row of each class, all columns: that of the smallest id. Documents without words all stay."""
     found = _classes(df, id_col, text_col, percent, size, BLOCK_BYTES)
-    kept = found.where(F.col("component") == F.col("id")).select(F.col("id").alias("__id"), F.col("key_1").alias("__key")).distinct()
+    kept = found.where(F.col("component") == F.col("id")).select(F.col("id").alias("kept_id"), F.col("key_1").alias("kept_key")).distinct()
     text = whole(F.col(text_col))
-    joined = df.withColumns({"__own": _id(id_col, text), "__text_key": F.xxhash64(text)}).join(kept, (F.col("__own") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("__own").orderBy("__text_key"))
-    return joined.withColumn("__number", number).where("__number = 1").select(df.columns)
+    rows = boxed(df, id=_id(id_col, text), key=F.xxhash64(text))
+    joined = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("key"))
+    return joined.withColumn("number", number).where("number = 1").select("row.*")

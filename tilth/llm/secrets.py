@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilth.llm.common import cut, whole
+from tilth.llm.common import boxed, cut, whole
 
 #: The base patterns and the least length of what counts in them; fixed values.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -93,17 +93,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_
 
 def redact(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df, all rows and columns, with each live span of the text replaced by the mark; null text stays null."""
-    found = scan(df, id_col, owner_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), F.filter("spans", lambda s: s["live"]).alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__key"])
-    joined = df.join(found, df[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(whole(df[text_col])) == found["__key"]), "left")
+    found = scan(df, id_col, owner_col, text_col).select(F.col(id_col).alias("found_id"), F.col("text_key").alias("found_key"), F.filter("spans", lambda s: s["live"]).alias("live"))
+    found = found.where(F.size("live") > 0).dropDuplicates(["found_id", "found_key"])
+    rows = boxed(df, id=F.col(id_col), key=F.xxhash64(whole(F.col(text_col))))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
+    text = F.col("row")[text_col]
 
     def walk(done: Column, span: Column) -> Column:
         fresh = span["start"] >= done["at"]
-        put = F.concat(done["text"], F.substring(F.col(text_col), done["at"] + 1, span["start"] - done["at"]), F.lit(mark))
+        put = F.concat(done["text"], F.substring(text, done["at"] + 1, span["start"] - done["at"]), F.lit(mark))
         return F.struct(F.when(fresh, put).otherwise(done["text"]).alias("text"), F.greatest(done["at"], span["end"]).alias("at"))
 
     start = F.from_json(F.lit('{"text":"","at":0}'), "struct<text:string,at:int>")
-    clean = F.aggregate("__spans", start, walk, lambda done: F.concat(done["text"], F.substring(F.col(text_col), done["at"] + 1, F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)).select(df.columns)
+    clean = F.aggregate("live", start, walk, lambda done: F.concat(done["text"], F.substring(text, done["at"] + 1, F.length(text))))
+    new = F.when(F.col("live").isNull(), text).otherwise(clean)
+    return joined.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.llm.byte_bpe import encode
+from tilth.llm.common import unused
 
 #: Lengths summed together before the bands are.
 BAND = 1024
@@ -24,7 +25,8 @@ BAND = 1024
 
 def lengths(df: DataFrame, ranks_file: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """df with the number of tokens of each text; a column of that name is replaced."""
-    return encode(df.drop(out_col), ranks_file, text_col, "__ids").withColumn(out_col, F.size("__ids").cast("long")).drop("__ids")
+    ids = unused(df, "ids")
+    return encode(df.drop(out_col), ranks_file, text_col, ids).withColumn(out_col, F.size(ids).cast("long")).drop(ids)
 
 
 def histogram(counted: DataFrame, length_col: str = "n_tokens") -> DataFrame:
