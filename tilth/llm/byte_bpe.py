@@ -167,7 +167,7 @@ class Merged:
     one, and only the two pairs beside a merge are looked up anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000) -> None:
         self.ranks, self.most, self.known = ranks, most, {}
         pairs = {(left << 32) | right: rank for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
         self.keys = np.array(sorted(pairs), np.int64)
@@ -245,7 +245,7 @@ class Merged:
         return ids[order], np.searchsorted(owner[order], np.arange(len(data)), side="right")
 
 
-def in_chunks(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def in_chunks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
     """Lists of whole texts of about so many characters."""
     held, size = [], 0
     for text in texts:
