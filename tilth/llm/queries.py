@@ -75,4 +75,5 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
+    "op10_ngram_jaccard": ngram_jaccard.SQL,
 }
