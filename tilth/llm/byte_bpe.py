@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilth.llm.common import small_batches
+
 #: Symbols. A white-space character is LAST_* if a non-space follows it in the same text.
 DOC, LETTER, NUMBER, OTHER, LAST_SPACE, LAST_WHITE, WHITE, APOS_1, APOS_2 = range(9)
 #: States: what the piece that is open takes next.
@@ -167,7 +169,7 @@ class Merged:
     one, and only the two pairs beside a merge are looked up anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000) -> None:
         self.ranks, self.most, self.known = ranks, most, {}
         pairs = {(left << 32) | right: rank for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
         self.keys = np.array(sorted(pairs), np.int64)
@@ -270,7 +272,7 @@ def encode(df: DataFrame, ranks_file: str, text_col: str = "text", ids_col: str
     """
     with open(ranks_file, "rb") as file:
         content = file.read()
-    df = df.drop(*[c for c in (ids_col, offsets_col) if c])
+    df = small_batches(df.drop(*[c for c in (ids_col, offsets_col) if c]))
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), *([T.StructField(offsets_col, T.ArrayType(T.IntegerType(), False))] if offsets_col else [])])
     place = df.columns.index(text_col)
 
@@ -300,7 +302,7 @@ def decode(df: DataFrame, ranks_file: str, ids_col: str = "ids", bytes_col: str
     """df with bytes_col binary, the bytes that ids_col stands for; null or no ids give no bytes."""
     with open(ranks_file, "rb") as file:
         content = file.read()
-    df = df.drop(bytes_col)
+    df = small_batches(df.drop(bytes_col))
     schema = T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())])
     place = df.columns.index(ids_col)
 

@@ -55,3 +55,11 @@ def unused(df: DataFrame, name: str) -> str:
 def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     """df as one struct, `row`, beside the columns given; so no name of df's can clash with ours. Unbox with row.*"""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches held to so many rows: whole texts are long, and a task holds a batch twice."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
