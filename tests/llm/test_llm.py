@@ -339,6 +339,26 @@ def test_pii_links_equal_values_and_keeps_formats(spark):
         pii.pseudonymise(df, "")
 
 
+def test_pii_alone_in_a_text(spark):
+    alone = {
+        "email": ["a@b.example"],
+        "date": ["1985-02-28"],
+        "ipv4": ["8.8.8.8", "10.0.0.1", "127.0.0.1", "203.0.113.7", "192.0.2.14", "10.20.30.40", "196.3.67.149"],
+        "phone": ["+33 12 34 56 78", "+1 (017) 555-7713", "(017) 555-7713", "017-555-7713"],
+        "identity": ["123-45-6789"],
+        "card": ["4952 9359 0025 3052"],
+    }
+    pairs = [(kind, v) for kind, values in alone.items() for v in values]
+    rows = [(k, text, "en", "s", 0) for k, (_, v) in enumerate(pairs) for text in (f"see {v}", f"{v} of 4952935900253052")]
+    got = defaultdict(list)
+    for r in pii.report(spark.createDataFrame(rows, SCHEMA), "key").collect():
+        got[r.doc_id].append(r)
+    for k, (kind, v) in enumerate(pairs):
+        one, two = sorted(got[k], key=lambda r: not r.text.startswith("see "))
+        assert one.spans == f"{kind}:4:{4 + len(v)}" and one.text != f"see {v}"
+        assert two.text.startswith(one.text[4:] + " of ")
+
+
 def test_pii_networks_are_bijections(spark):
     x = spark.range(15).select("id", pii.feistel_number(F.col("id"), 3, 5, "k").alias("y"))
     x = x.withColumn("z", pii.feistel_number(F.col("y"), 3, 5, "k", True)).collect()

@@ -33,7 +33,8 @@ PATTERNS = (
 )
 #: No longer number or word goes on at either end.
 ANY = r"(?<![A-Za-z0-9_.+@-])(?:" + "|".join(p for _, p in PATTERNS) + r")(?![A-Za-z0-9_@])(?![.-]\d)"
-QUICK = r"@[A-Za-z0-9-]+\.|\d{3}.?\d\d"
+#: Found in every text in which ANY is found, and quicker to look for: a part that each pattern can't do without.
+QUICK = r"@[A-Za-z0-9-]+\.|\d{3}.?\d\d|\d\.\d{1,3}\.\d|\+\d"
 
 
 def _prf(key: str, *parts: Column) -> Column:
