@@ -427,6 +427,17 @@ def test_toxicity_held_out_and_inserted_characters(spark):
     assert toxicity.report(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_scores_the_whole_of_a_spelled_out_run():
+    insult, junk = "grobnak", "qjxvz" * 8
+    for before, after in ((junk, ""), ("", junk), (junk * 3, junk)):
+        run = " ".join(before + insult + after)
+        assert any(insult in u for u in toxicity.units(run)) and any(insult in u for u in toxicity.units(run + " end"))
+        assert all(len(u) <= toxicity.LONGEST for u in toxicity.units(run))
+    model = toxicity.train([t for _, t, _ in labelled()], [y for _, _, y in labelled()])
+    spelled, plain = model.scores([" ".join(junk + insult * 5), " ".join(junk)], {})
+    assert spelled > plain
+
+
 # ---------------------------------------------------------------- 10
 
 

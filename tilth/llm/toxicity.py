@@ -39,9 +39,16 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
+def _windows(word: str) -> list[str]:
+    """The word, or beyond LONGEST its overlapping windows, which hold all of it."""
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[k : k + LONGEST] for k in range(0, len(word) - LONGEST + STRIDE, STRIDE)]
+
+
 def units(text: str | None) -> list[str]:
     """The words of a text as the kernel sees them: small letters, no punctuation around, runs of single characters
-    also joined, and words beyond LONGEST in overlapping windows."""
+    also joined, and what is beyond LONGEST in overlapping windows."""
     out, run = [], []
     for token in (text or "").lower().split():
         word = token if token.isalnum() else EDGE.sub("", token)
@@ -49,16 +56,12 @@ def units(text: str | None) -> list[str]:
             run.append(word)
             continue
         if len(run) > 3:
-            out.append("".join(run)[:LONGEST])
+            out += _windows("".join(run))
         run.clear()
-        if not word:
-            continue
-        if len(word) <= LONGEST:
-            out.append(word)
-        else:
-            out += [word[k : k + LONGEST] for k in range(0, len(word) - LONGEST + STRIDE, STRIDE)]
+        if word:
+            out += _windows(word)
     if len(run) > 3:
-        out.append("".join(run)[:LONGEST])
+        out += _windows("".join(run))
     return out
 
 
