@@ -250,6 +250,23 @@ def test_mixture(docs, none):
     assert mixture.report(none).count() == 0 and mixture.repeated(none).count() == 0
 
 
+def test_mixture_gives_each_source_its_words(spark):
+    rnd = random.Random(3)
+    sizes = {"a": (20, 300), "b": (30, 400), "hot": (60, 500)}
+    rows = [(k, " ".join(f"w{k}_{j}" for j in range(rnd.randint(most // 2, most))), "en", s, 0) for s, (n, most) in sizes.items() for k in range(len(s) * 1000, len(s) * 1000 + n) for k in [k + ord(s[0]) * 100000]]
+    rows += [rows[0], (None, rows[1][1], "en", "b", 0), (None, None, None, "hot", None), (None, "", None, "hot", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, target = brute_targets([(i, t, s) for i, t, _, s, _ in rows])
+    got, texts = Counter(), {r[0]: r[1] for r in rows}
+    out = mixture.repeated(df).collect()
+    for r in out:
+        own = WORD.findall(r.text or "")
+        got[r.source] += len(own)
+        assert r.doc_id is None or set(own) <= set(WORD.findall(texts[r.doc_id]))
+    assert all(abs(got[s] - target[s]) <= 1 for s in sizes), (got, target)
+    assert sum(not r.text for r in out) == 2
+
+
 def test_mixture_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         x = spark.range(n).select("id", mixture.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("y"))

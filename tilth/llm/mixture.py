@@ -88,7 +88,7 @@ def _words_before(k: Column, short_at: Column) -> Column:
 
 
 def slots(sources: DataFrame) -> DataFrame:
-    """A row a slot of the mix: shard, place in it, source_no, block and words taken from the block's start.
+    """A row a slot of the mix: shard, place in it, source_no, block, round and words taken from the block's start.
 
     Slots are made in chunks, so that a source with a third of them spreads.
     """
@@ -114,6 +114,7 @@ def slots(sources: DataFrame) -> DataFrame:
         F.pmod(at, F.lit(SHARD_SLOTS)).alias("place"),
         "source_no",
         permuted(F.col("k"), F.col("blocks"), F.col("source_no"), F.col("round")).alias("block"),
+        "round",
         words.alias("words"),
     )
 
@@ -135,8 +136,11 @@ def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents, draws): the packed rows with a `row` number, and for each row and block that the mix draws from it
-    the words it gives: row, source_no, block, shard, place, start (in the row's words) and words."""
-    sized = cut(sizes(df, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()))
+    the words it gives: row, source_no, block, round, shard, place, start (in the row's words) and words."""
+    return _plan(cut(sizes(df, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id())))
+
+
+def _plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = cut(targets(sized))
     rows = packed(sized, sources)
     parts = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))))
@@ -165,21 +169,30 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """df's rows as often as the mix holds them, all columns kept.
+    """The words that the mix takes, as rows of df, all columns kept.
 
-    A row that gives words to the mix stays, as often as its taken words fill its size, rounded, once at least; a row
-    that gives none goes. A row without words stays once, since no share of it is missing.
+    A row comes as often as its taken words fill its size, rounded, once at least if any was taken, and its copies' texts
+    hold just the words taken, with the white space after them: a text taken as a whole is unchanged, and of what is
+    taken again too little for a copy of its own follows in the last copy. A row that gives none goes. A row without
+    words stays once, since no share of it is missing.
     """
-    counted = report_rows(df, id_col, text_col, source_col)
-    copies = F.when((F.col("size") == 0) | (2 * F.col("taken") < F.col("size")), F.when((F.col("size") == 0) | (F.col("taken") > 0), 1).otherwise(0)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    times = counted.groupBy("id", "place").agg(F.max(copies).alias("times")).where("times > 0").select(F.col("id").alias("counted_id"), F.col("place").alias("counted_place"), "times")
-    rows = boxed(df, id=F.col(id_col), place=F.xxhash64(F.lit("order"), F.col(id_col), F.col(text_col)))
-    joined = rows.join(times, F.col("id").eqNullSafe(F.col("counted_id")) & (F.col("place") == F.col("counted_place")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
-
-
-def report_rows(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """The packed rows with the words taken of each."""
-    rows, drawn = plan(df, id_col, text_col, source_col)
-    taken = drawn.groupBy("row").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, "row", "left").select("id", "place", "size", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    held = boxed(df, id=F.col(id_col), text=F.col(text_col), source=F.col(source_col)).withColumn("number", F.monotonically_increasing_id())
+    held = cut(held)
+    place = F.xxhash64(F.lit("order"), F.col("id"), F.col("text"))
+    rows, drawn = _plan(held.select("id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), place.alias("place"), F.col("number").alias("row")))
+    pieces = drawn.groupBy(F.col("row").alias("number")).agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("round", "start", "words"))).alias("pieces"))
+    counted = rows.select(F.col("row").alias("number"), "size").join(pieces, "number", "left").where("size = 0 OR taken > 0")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.greatest(F.round(F.col("taken") / F.col("size")), F.lit(1))).cast("int")
+    each = held.join(counted.withColumn("copies", copies), "number").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    own = F.filter("pieces", lambda p: F.least(p["round"] + 1, F.col("copies")) == F.col("copy"))
+    each = each.withColumn("pieces", own).withColumn("own", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"]))
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    each = each.withColumn("words", F.when((F.col("size") > 0) & (F.col("own") != F.col("size")), words))
+
+    def of_round(k: Column) -> Column:
+        parts = F.filter("pieces", lambda p: p["round"] == k)
+        return F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(F.col("words"), p["start"].cast("int") + 1, p["words"].cast("int")))), "")
+
+    rounds = F.array_distinct(F.transform("pieces", lambda p: p["round"]))
+    text = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rounds, of_round), "\n\n"))
+    return each.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
