@@ -6,18 +6,24 @@ together with a chance of a few per cent, two given ones never in practice.
 
 Corpus counts move as packed arrays, not as rows: each block of documents sends a shard its sorted distinct hashes, the
 shard adds up all blocks' counts and answers each block in the order of its hashes. A value that is in all documents
-arrives once a block, so no value is hot.
+arrives once a block, so no value is hot. What travels is a hash's top `bits`, as many as keep the chance that two
+n-grams of the corpus share them below a bound that does not depend on its size. Shards hold a set number of bytes, so
+a message between a block and a shard shrinks as the corpus grows, and there are never more messages than hashes.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = []
 _LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _SPACE = np.zeros(256, bool)
@@ -99,29 +105,50 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     return out
 
 
+def bits_for(total: int, spare: int) -> int:
+    """How many bits of a hash tell the n-grams of so many bytes of text apart but for a share of 2 ** -spare."""
+    return min(64, max(1, total).bit_length() + spare)
+
+
+def _planes(values: np.ndarray, random: int) -> bytes:
+    """Byte plane by byte plane up to the highest in use; those from `random` on are compressed."""
+    used = max(1, (int(values.max()).bit_length() + 7) // 8)
+    random = min(random, used)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:used]
+    return struct.pack("<IBB", len(values), used, random) + planes[:random].tobytes() + zlib.compress(planes[random:].tobytes(), 1)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    n, used, random = struct.unpack_from("<IBB", data)
+    raw = data[6 : 6 + n * random] + zlib.decompress(data[6 + n * random :])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :used] = np.frombuffer(raw, np.uint8).reshape(used, n).T
+    return out.view("<u8").ravel()
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte plane by byte plane, so that the empty high planes cost nothing."""
+    """Sorted hashes as differences. The low planes of differences are random and stay as they are."""
+    if not len(keys):
+        return b""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(steps, int(keys[-1] // np.uint64(len(keys))).bit_length() // 8)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(data), dtype=np.uint64) if data else np.zeros(0, np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(counts.astype(np.uint64), 0) if len(counts) else b""
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
+    return _from_planes(data).astype(np.int64) if data else np.zeros(0, np.int64)
 
 
-def shards_of(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
-    """(shard, start, end) of sorted hashes: shards are equal ranges of the hash."""
-    width = (1 << 64) // shards + 1
+def shards_of(keys: np.ndarray, shards: int, bits: int = 64) -> Iterator[tuple[int, int, int]]:
+    """(shard, start, end) of sorted hashes of so many bits: shards are equal ranges of the hash."""
+    width = (1 << bits) // shards + 1
     cuts = np.searchsorted(keys, np.array([k * width for k in range(1, shards)], np.uint64)) if shards > 1 else np.zeros(0, int)
     bounds = [0, *cuts.tolist(), len(keys)]
     for k in range(shards):
@@ -129,6 +156,11 @@ def shards_of(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
             yield k, bounds[k], bounds[k + 1]
 
 
+def dealt(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """df with a partition for each value 0 .. parts - 1 of the column, so that tasks grow in number, not in size."""
+    return df.repartitionById(parts, F.col(column))
+
+
 def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
     """For each array of sorted distinct hashes, the counts of its hashes added over all arrays."""
     every = np.concatenate(keys)

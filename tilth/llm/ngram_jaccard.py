@@ -28,12 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.llm import grams
-from tilth.llm.common import boxed, cut, whole
+from tilth.llm.common import WORD, boxed, cut, whole
 
 #: Rows without an id stand under their text's hash, above all ids.
 NULL_ID = 1 << 62
-#: Bytes of text in a block of documents, which one task holds at a time.
-BLOCK_BYTES = 5 << 20
+#: Bytes of text in a block of documents, which one task holds at a time, and blocks' worth of text a shard.
+BLOCK_BYTES, BLOCKS_A_SHARD = 4 << 20, 2
+
+
+def _blocks(total: int, block_bytes: int) -> int:
+    return max(1, -(-total // block_bytes))
 
 
 def _threshold(percent: int):
@@ -46,10 +50,10 @@ def _threshold(percent: int):
 def _sets(table: pa.Table, kept: set[tuple], size: int) -> tuple[list[int], list[np.ndarray]]:
     """Nodes of a block, ascending, and their shingle sets. table: id, key_1, key_2, text."""
     ids, one, two = (table.column(k).to_pylist() for k in range(3))
-    at = [k for k, key in enumerate(zip(ids, one, two)) if key in kept]
     first: dict[tuple, int] = {}
-    for k in at:  # the same row again adds nothing
-        first.setdefault((ids[k], one[k], two[k]), k)
+    for k, key in enumerate(zip(ids, one, two)):  # the same row again adds nothing
+        if key in kept:
+            first.setdefault(key, k)
     rows = sorted(first.values(), key=lambda k: ids[k])
     sets = grams.shingle_sets(table.column(3).take(rows).to_pylist(), size) if rows else []
     nodes: list[int] = []
@@ -63,75 +67,74 @@ def _sets(table: pa.Table, kept: set[tuple], size: int) -> tuple[list[int], list
     return nodes, out
 
 
-def _block_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+def _kept(table: pa.Table) -> set[tuple]:
+    return set(zip(*(table.column(c).to_pylist() for c in ("node", "rep_1", "rep_2"))))
 
 
-def _shuffled(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
 
 
-def nodes_and_index(keyed: DataFrame, first: DataFrame, percent: int, size: int, blocks: int) -> DataFrame:
+def nodes_and_index(keyed: DataFrame, first: DataFrame, percent: int, size: int, total: int, block_bytes: int) -> DataFrame:
     """A row a node: node, n (shingles), tokens (packed, in the order of all shingles; only where a prefix meets another
     set), and the tokens and positions of that prefix.
 
     keyed: id, key_1, key_2, text, block. first: block, node, key_1, key_2 of the document that stands for its copies.
+    Counts are of a shingle's top bits: they order shingles the same way in every block, and two shingles that share
+    them only look less rare than they are.
     """
-    shards = blocks
-    overlap, prefix = _threshold(percent)
+    blocks, shards = _blocks(total, block_bytes), max(1, -(-total // (BLOCKS_A_SHARD * block_bytes)))
+    bits = grams.bits_for(total, 8)
+    shift = np.uint64(64 - bits)
+    _, prefix = _threshold(percent)
+
+    def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(sets) >> shift if sets else np.zeros(0, np.uint64), return_counts=True)
 
     def count(docs: pa.Table, reps: pa.Table) -> pa.Table:
         block = (docs if docs.num_rows else reps).column("block")[0].as_py()
-        _, sets = _sets(docs, set(zip(*(reps.column(c).to_pylist() for c in ("node", "rep_1", "rep_2")))), size)
-        keys, counts = _block_keys(sets)
-        parts = list(grams.shards_of(keys, shards))
-        kept = np.array([reps.column(c).to_pylist() for c in ("node", "rep_1", "rep_2")], np.int64).T
-        # the block's kept documents travel as a shard of their own
+        keys, counts = keys_of(_sets(docs, _kept(reps), size)[1])
+        parts = list(grams.shards_of(keys, shards, bits))
         return pa.table(
             {
-                "shard": pa.array([-1 - block, *(s for s, _, _ in parts)], pa.int32()),
-                "block": pa.array([block] * (len(parts) + 1), pa.int32()),
-                "keys": pa.array([np.ascontiguousarray(kept).tobytes(), *(grams.pack(keys[a:b]) for _, a, b in parts)], pa.binary()),
-                "counts": pa.array([b"", *(grams.pack_counts(counts[a:b]) for _, a, b in parts)], pa.binary()),
+                "shard": pa.array([s for s, _, _ in parts], pa.int32()),
+                "block": pa.array([block] * len(parts), pa.int32()),
+                "keys": pa.array([grams.pack(keys[a:b]) for _, a, b in parts], pa.binary()),
+                "counts": pa.array([grams.pack_counts(counts[a:b]) for _, a, b in parts], pa.binary()),
             }
         )
 
     def answer(shard: pa.Table) -> pa.Table:
-        if shard.column("shard")[0].as_py() < 0:
-            return shard.select(["block", "shard", "keys"]).rename_columns(["block", "shard", "totals"])
-        keys = [grams.unpack(x) for x in shard.column("keys").to_pylist()]
-        totals = grams.add_up(keys, [grams.unpack_counts(x) for x in shard.column("counts").to_pylist()])
+        totals = grams.add_up([grams.unpack(x.as_py()) for x in shard.column("keys")], [grams.unpack_counts(x.as_py()) for x in shard.column("counts")])
         return pa.table({"block": shard.column("block"), "shard": shard.column("shard"), "totals": pa.array([grams.pack_counts(t) for t in totals], pa.binary())})
 
-    def index(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = sorted(zip(answers.column("shard").to_pylist(), answers.column("totals").to_pylist()))
-        kept = set(map(tuple, np.frombuffer(b"".join(x for s, x in rows if s < 0), np.int64).reshape(-1, 3).tolist()))
-        nodes, sets = _sets(docs, kept, size)
-        keys, _ = _block_keys(sets)
-        held_in = np.concatenate([np.zeros(0, np.int64), *(grams.unpack_counts(x) for s, x in rows if s >= 0)])
+    def index(docs: pa.Table, told: pa.Table) -> pa.Table:
+        rows = sorted((s, x) for s, x in zip(told.column("shard").to_pylist(), told.column("totals").to_pylist()) if s >= 0)
+        nodes, sets = _sets(docs, _kept(told), size)
+        keys, _ = keys_of(sets)
+        held_in = np.concatenate([np.zeros(0, np.int64), *(grams.unpack_counts(x) for _, x in rows)])
+        del rows
         n, tokens, heads, places = [], [], [], []
         for own in sets:
             n.append(len(own))
-            many = held_in[np.searchsorted(keys, own)]
+            many = held_in[np.searchsorted(keys, own >> shift)]
             p = prefix(len(own)) if len(own) else 0
-            order = np.lexsort((own, many))
-            meets = np.flatnonzero(many[order[:p]] > 1)
-            if len(meets):
-                tokens.append(own.tobytes())
-                heads.append(own[order[meets]].view(np.int64).tolist())
-                places.append(meets.astype(np.int32).tolist())
-            else:
-                tokens.append(None)
-                heads.append([])
-                places.append([])
-        return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array(n, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "head": pa.array(heads, pa.list_(pa.int64())), "place": pa.array(places, pa.list_(pa.int32()))})
-
-    docs = keyed.select("id", "key_1", "key_2", "text", "block")
+            order = np.lexsort((own, many))[:p]
+            meets = np.flatnonzero(many[order] > 1)
+            tokens.append(own.tobytes() if len(meets) else None)
+            heads.append(own[order[meets]])
+            places.append(meets)
+        return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array(n, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "head": _lists([h.view(np.int64) for h in heads], pa.int64()), "place": _lists(places, pa.int32())})
+
+    docs = grams.dealt(keyed.select("id", "key_1", "key_2", "text", "block"), "block", blocks)
     # columns anew, for both sides come from the same rows and a cogroup would take one side's keys for the other's
     reps = first.select(*[(F.col(c) + 0).cast(kind).alias(name) for c, kind, name in (("block", "int", "block"), ("node", "long", "node"), ("key_1", "long", "rep_1"), ("key_2", "long", "rep_2"))])
-    sent = docs.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(count, "shard int, block int, keys binary, counts binary")
-    answers = sent.groupBy("shard").applyInArrow(answer, "block int, shard int, totals binary")
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(index, "node long, n long, tokens binary, head array<long>, place array<int>")
+    sent = docs.groupBy("block").cogroup(grams.dealt(reps, "block", blocks).groupBy("block")).applyInArrow(count, "shard int, block int, keys binary, counts binary")
+    answers = grams.dealt(sent, "shard", shards).groupBy("shard").applyInArrow(answer, "block int, shard int, totals binary")
+    told = answers.unionByName(reps.withColumn("shard", F.lit(-1)), allowMissingColumns=True)
+    return docs.groupBy("block").cogroup(grams.dealt(told, "block", blocks).groupBy("block")).applyInArrow(index, "node long, n long, tokens binary, head array<long>, place array<int>")
 
 
 def _compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -220,20 +223,14 @@ def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return compared, components(compared.where("linked")) if more else classes
 
 
-def _id(id_col: str, text: Column) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
-
-
-def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, size: int, block_bytes: int) -> DataFrame:
-    """A row a row of df: id (of rows without one too), key_1 of the text, n and component."""
-    text = whole(F.col(text_col))
-    keyed = df.select(_id(id_col, text).alias("id"), F.xxhash64(text).alias("key_1"), F.xxhash64(F.lit("second"), text).alias("key_2"), text.alias("text"))
+def _classes(df: DataFrame, ids: Column, text: Column, percent: int, size: int, block_bytes: int) -> DataFrame:
+    """A row a row of df: id, key_1 of the text, n and component. ids: a number for each document."""
+    keyed = df.select(ids.alias("id"), F.xxhash64(text).alias("key_1"), F.xxhash64(F.lit("second"), text).alias("key_2"), text.alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_blocks(total, block_bytes))).cast("int").alias("block")
     keyed = keyed.select("*", place("id"))
     first = cut(keyed.groupBy("key_1", "key_2").agg(F.min("id").alias("node")).select("*", place("node")))
-    index = cut(nodes_and_index(keyed, first, percent, size, blocks))
+    index = cut(nodes_and_index(keyed, first, percent, size, total, block_bytes))
     _, found = links(index, percent)
     of_node = index.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     of_key = first.join(of_node, "node").select("key_1", "key_2", "n", "component")
@@ -241,22 +238,32 @@ def _classes(df: DataFrame, id_col: str, text_col: str, percent: int, size: int,
     return out.select("id", "key_1", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
+def _of_text(text: Column) -> Column:
+    """A number for a text, above all ids."""
+    return F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row a row of df: id_col, n_shingles and component_id, the smallest id that links reach."""
     given = lambda c: F.when(F.col(c) < NULL_ID, F.col(c))
-    found = _classes(df, id_col, text_col, percent, size, block_bytes)
+    text = whole(F.col(text_col))
+    found = _classes(df, F.coalesce(F.col(id_col).cast("long"), _of_text(text)), text, percent, size, block_bytes)
     return found.select(given("id").alias(id_col), F.col("n").alias("n_shingles"), given("component").alias("component_id"))
 
 
-def firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
-    """df with one row of each class, all columns: that of the smallest id. Documents without words all stay."""
-    found = _classes(df, id_col, text_col, percent, size, BLOCK_BYTES)
-    kept = found.where(F.col("component") == F.col("id")).select(F.col("id").alias("kept_id"), F.col("key_1").alias("kept_key")).distinct()
+def firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """df with one row of each class of texts, all columns: the one of the smallest id, rows without an id last, then of
+    the smallest hash. Here every text is a document of its own, also where texts share an id, so none goes that is no
+    copy. Rows without words all stay; of the same row twice one stays."""
     text = whole(F.col(text_col))
-    rows = boxed(df, id=_id(id_col, text), key=F.xxhash64(text))
-    joined = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("id").orderBy("key"))
-    return joined.withColumn("number", number).where("number = 1").select("row.*")
+    found = _classes(df, _of_text(text), text, percent, size, block_bytes).where("n > 0").select("key_1", "component").distinct()
+    rows = boxed(df, id=F.col(id_col), key=F.xxhash64(text), wordy=text.rlike(WORD))
+    named = rows.where("wordy").select("id", "key").join(found, F.col("key") == F.col("key_1"))
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    kept = kept.select(F.col("best.id").alias("kept_id"), F.col("best.key").alias("kept_key"))
+    joined = rows.where("wordy").join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    return joined.withColumn("number", number).where("number = 1").select("row.*").unionByName(rows.where("NOT wordy").select("row.*"))
 
 
 SQL = r"""
