@@ -109,9 +109,35 @@ def test_lm_score_of_nothing(none, docs):
     assert unlearnt.score == 0.0 and unlearnt.n_known == 0
 
 
+def test_lm_score_of_long_texts_in_stretches(spark):
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice("abcdefg") for _ in range(n))
+    rows = [(i, text(n)) for i, n in enumerate((1, 254, 255, 256, 257, 511, 700, 1500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.report(df).collect()}
+    for i, n, known, train, base, own in brute_scores(rows, lm_score.ORDER):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, train)
+        assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(own)
+
+
 def test_lm_states_add_up():
-    read = grams.word_hashes(["a b a c"])
-    assert len(read[0]) == 4
+    """Of every state that a text visits, the probabilities of all words add up to 1."""
+    texts = ["a b a c a b", "b a a d", "c"]
+    read = lm_score.Reading(texts, 3)
+    count = read.counts(np.array([True, True, True]))
+    words_of = np.unique(read.at[0])
+    n, v = int(count[words_of].sum()), len(words_of)
+    automaton = lm_score.Automaton(read, count, n, v)
+    ended = {int(at[k]) for at in read.at for k in read.first + read.size - 1}  # nothing follows an end
+    held = [s for s in range(automaton.width) if s in (automaton.root, automaton.first_state) or automaton.fail_weight[s] < 0 and s not in ended]
+    assert len(held) > 8
+    for state in held:
+        _, logs = automaton.step(np.full(v, state, np.int32), words_of.astype(np.int64))
+        unknown = 1 / (n + v + 1)
+        while state != automaton.root:
+            unknown *= 10 ** automaton.fail_weight[state]
+            state = automaton.fail[state]
+        assert (10**logs).sum() + unknown == pytest.approx(1)
 
 
 # ---------------------------------------------------------------- 2
@@ -509,6 +535,10 @@ def test_ngram_jaccard(spark, docs, none):
     kept = ngram_jaccard.firsts(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (n, c) in want.items() if i == c)
+    unlike = [(1, "a b c"), (1, "d e f"), (1, "d e f"), (2, "g h i"), (3, "d e f"), (None, None), (None, ""), (None, " "), (4, ""), (4, ""), (None, "G h i"), (None, "j k")]
+    kept = ngram_jaccard.firsts(spark.createDataFrame(unlike, "doc_id long, text string"))
+    want = [(1, "a b c"), (1, "d e f"), (2, "g h i"), (None, None), (None, ""), (None, " "), (4, ""), (4, ""), (None, "j k")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
     made = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
     want = brute_classes(made)
     got = ngram_jaccard.classes(docs).where("doc_id IS NOT NULL").collect()

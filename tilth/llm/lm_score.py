@@ -12,10 +12,13 @@ text is read once from left to right from the start state; its end is a word too
 
 The corpus has far more n-grams than a task can hold, so the automaton is never in one place: documents go to blocks of
 a few megabytes, each block sends its distinct n-grams with their training counts to shards, gets back the corpus-wide
-counts of just those, and walks its texts over that part of the automaton. Nothing is cut off by count or rank.
+counts of just those, builds the part of the automaton that its texts can reach and walks them through it. Nothing is
+cut off by count or rank. N-grams go by hashes whose length grows with the corpus, so that one in 2 ** SPARE at most
+shares its hash with another, at every size.
 
-Defined cases: null text is the empty text, of one token (its end). Rows that repeat an id each count and each give a
-row. A null id is learnt from. Without learning rows every word has the same probability 1. An empty table gives no
+Defined cases: null text is the empty text, of one token (its end). A very long text is walked whole, in stretches side
+by side; its block is as large as it. Rows that repeat an id each count and each give a row, and equal texts get equal
+scores. A null id is learnt from. Without learning rows every word has the same probability 1. An empty table gives no
 rows.
 """
 
@@ -30,16 +33,19 @@ from tilth.llm import grams
 from tilth.llm.common import whole
 
 MASS, POWER = 0.8, 0.8
-ORDER = 2
-#: Bytes of text in a block, which one task holds at a time, and blocks a shard.
-BLOCK_BYTES, BLOCKS_A_SHARD = 8 << 20, 1
+ORDER = 3
+SPARE = 24
+#: Bytes of text in a block, which one task holds at a time, and blocks' worth of text a shard.
+BLOCK_BYTES, BLOCKS_A_SHARD = 4 << 20, 2
+#: Tokens of a text that one lane of the walk reads.
+STRETCH = 256
 START, END = (np.array([x], np.uint64) for x in (0x5374617274, 0x456E64))
 
 
 class Reading:
     """The tokens of some texts, and the distinct n-grams that end at each."""
 
-    def __init__(self, texts: list[str | None], order: int) -> None:
+    def __init__(self, texts: list[str | None], order: int, bits: int = 64) -> None:
         words, counts = grams.word_hashes(texts)
         self.first = np.concatenate([[0], np.cumsum(counts + 1)])[:-1].astype(np.int64)
         self.size = counts + 1
@@ -49,10 +55,13 @@ class Reading:
         is_end = np.zeros(n, bool)
         is_end[last] = True
         tokens[~is_end], tokens[is_end] = words, END[0]
+        shift, one = np.uint64(64 - bits), np.uint64(1)
         self.place = np.arange(n) - np.repeat(self.first, self.size)  # in its text
-        levels = [grams.joined([tokens]) | np.uint64(1)]  # the lowest bit marks single words
+        # the lowest bit marks single words
+        every = np.empty(n * order + 1, np.uint64)
+        every[:n] = (grams.joined([tokens]) >> shift) | one
+        every[-1:] = (grams.joined([END]) >> shift) | one
         before = [tokens]
-        self.seen = [np.ones(n, bool)]
         for level in range(2, order + 1):
             shifted = np.empty(n, np.uint64)
             back = level - 1
@@ -60,53 +69,128 @@ class Reading:
             shifted[: min(back, n)] = START[0]
             shifted[self.place == back - 1] = START[0]
             before.insert(0, shifted)
-            seen = self.place >= back - 1  # the start state is one word before the first
-            levels.append(np.where(seen, grams.joined(before) & ~np.uint64(1), np.uint64(0)))
-            self.seen.append(seen)
-        self.end_key = grams.joined([END]) | np.uint64(1)
-        every = np.concatenate([*levels, self.end_key])
+            # the start state is one word before the first
+            every[(level - 1) * n : level * n] = np.where(self.seen(level), (grams.joined(before) >> shift) & ~one, np.uint64(0))
+        del before, tokens
         self.keys, at = np.unique(every, return_inverse=True)
+        del every
+        at = at.astype(np.int32)
         self.at = [at[k * n : (k + 1) * n] for k in range(order)]
-        self.end_at = at[-1]
+        self.end_at = int(at[-1])
+
+    def seen(self, level: int) -> np.ndarray:
+        """Whether so many words, with the start as one, end at each token."""
+        return self.place >= level - 2
 
     def counts(self, learnt: np.ndarray) -> np.ndarray:
         """How often each key ends at a token of a learnt text."""
         weight = np.repeat(learnt, self.size)
         out = np.zeros(len(self.keys), np.int64)
-        for at, seen in zip(self.at, self.seen):
-            out += np.bincount(at[weight & seen], minlength=len(out))
+        for level, at in enumerate(self.at, 1):
+            out += np.bincount(at[weight & self.seen(level)], minlength=len(out))
         return out
 
-    def walk(self, count: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, score) of each text. count: of each key in the corpus; n, v: all training tokens,
-        distinct ones. Every text is read from its start, each token's arc or failure arcs taken from the longest state
-        down; the steps of all texts are laid side by side."""
-        own = [np.where(seen, count[at], 0) for at, seen in zip(self.at, self.seen)]
-        root = (own[0] + 1) / (n + v + 1)
-        p = root
-        start = int(count[self.end_at])  # texts learnt from: as many starts as ends
-        for level in range(1, len(own)):
-            state = np.empty(len(p), np.int64)  # the count of the state before this token
-            state[1:] = own[level - 1][:-1]
-            # the words since the start make the state, if as many as it takes
-            state[self.place < level - 1] = 0
-            if level == 1:
-                state[self.place == 0] = start
-            elif len(p):
-                state[self.place == level - 2] = 0
-            kept = MASS * state.astype(float) ** POWER
-            p = np.where(state > 0, (own[level] + kept * p) / np.where(state > 0, state + kept, 1), p)
-        sums = lambda x: np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
-        return sums((own[0] > 0).astype(np.int64)), sums(np.log10(root)), sums(np.log10(p))
+
+class Automaton:
+    """The states, arcs and failure arcs that a reading's texts can reach.
+
+    A state is the number of its n-gram's key; the root and the start state come after all keys. Arcs are sorted by
+    state and word. count: of each key in the corpus; n, v: all training tokens, distinct ones.
+    """
+
+    def __init__(self, read: Reading, count: np.ndarray, n: int, v: int) -> None:
+        size, order = len(read.keys), len(read.at)
+        self.root, start, self.width = size, size + 1, size + 2
+        held = np.concatenate([count, [0, count[read.end_at]]]).astype(float)  # as many texts start as end
+        kept = MASS * held**POWER
+        self.fail = np.full(self.width, self.root, np.int32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.fail_weight = np.where(held > 0, np.log10(kept / (held + kept)), 0.0)
+        self.first_state = start if order > 1 and held[start] > 0 else self.root
+        below = (count + 1) / (n + v + 1)  # p(w | root) at each single word's key
+        self.root_weight = np.log10(below)
+        self.root_target = np.where((count > 0) & (order > 1), np.arange(size), self.root).astype(np.int32)
+        states, words, weights, targets = [], [], [], []
+        for level in range(2, order + 1):
+            own, shorter = read.at[level - 1], read.at[level - 2]
+            ends = np.flatnonzero(read.seen(level))
+            _, once = np.unique(own[ends], return_index=True)
+            ends = ends[once]
+            ends = ends[count[own[ends]] > 0]
+            key, suffix = own[ends], shorter[ends]
+            state = shorter[ends - 1] if level > 2 else np.where(read.place[ends] > 0, shorter[ends - 1], start)
+            p = (count[key] + kept[state] * below[suffix]) / (held[state] + kept[state])
+            states.append(state.astype(np.int64))
+            words.append(read.at[0][ends])
+            weights.append(np.log10(p))
+            if level < order:
+                self.fail[key] = suffix
+                targets.append(key)
+            else:
+                targets.append(suffix)
+            below = below.copy()
+            below[key] = p
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        arcs = joined(states, np.int64) * self.width + joined(words, np.int64)
+        by = np.argsort(arcs)
+        self.arcs, self.weight, self.target = arcs[by], joined(weights, float)[by], joined(targets, np.int32)[by]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 probability) of each lane: failure arcs are taken until the state has an arc of the word."""
+        score, after = np.zeros(len(state)), np.empty(len(state), np.int32)
+        lanes, state = np.arange(len(state)), state.astype(np.int64)
+        while len(lanes):
+            at_root = state == self.root
+            if at_root.any():
+                done, w = lanes[at_root], word[lanes[at_root]]
+                score[done] += self.root_weight[w]
+                after[done] = self.root_target[w]
+                lanes, state = lanes[~at_root], state[~at_root]
+            if not len(lanes):
+                break
+            wanted = state * self.width + word[lanes]
+            place = np.searchsorted(self.arcs, wanted)
+            place[place == len(self.arcs)] = 0
+            hit = self.arcs[place] == wanted if len(self.arcs) else np.zeros(len(lanes), bool)
+            done = lanes[hit]
+            score[done] += self.weight[place[hit]]
+            after[done] = self.target[place[hit]]
+            lanes, state = lanes[~hit], state[~hit]
+            score[lanes] += self.fail_weight[state]
+            state = self.fail[state].astype(np.int64)
+        return after, score
+
+    def walk(self, read: Reading) -> np.ndarray:
+        """The score of each text. Texts are read side by side, a word a step; of a long text the later stretches start
+        order - 1 words early in the root, for those words alone make the state."""
+        early = len(read.at) - 1
+        pieces = -(-read.size // STRETCH)
+        text = np.repeat(np.arange(len(read.size)), pieces)
+        piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        warm = np.minimum(early, piece * STRETCH)
+        begin = read.first[text] + piece * STRETCH - warm
+        length = np.minimum(read.size[text] - piece * STRETCH, STRETCH) + warm
+        by = np.argsort(-length, kind="stable")
+        text, warm, begin, length = text[by], warm[by], begin[by], length[by]
+        state = np.where(begin == read.first[text], self.first_state, self.root).astype(np.int32)
+        total = np.zeros(len(text))
+        for t in range(int(length[0]) if len(length) else 0):
+            lanes = int(np.searchsorted(-length, -t, side="left"))
+            state[:lanes], score = self.step(state[:lanes], read.at[0][begin[:lanes] + t])
+            total[:lanes] += np.where(t >= warm[:lanes], score, 0.0)
+        # in the order of the stretches, so that equal texts have equal sums
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return np.bincount(text[place], total[place], minlength=len(read.size))
 
 
 def _summed(arrays: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
     """Corpus-wide counts in each array's order, and the tokens and distinct words among them."""
     totals = grams.add_up(arrays, counts)
-    every, first = np.unique(np.concatenate(arrays), return_index=True)
-    total = np.concatenate(totals)[first]
-    words = total[(every & np.uint64(1)) == 1]
-    return totals, int(words.sum()), int((words > 0).sum())
+    words = [(a & np.uint64(1)) == 1 for a in arrays]
+    every, first = np.unique(np.concatenate([a[w] for a, w in zip(arrays, words)]), return_index=True)
+    total = np.concatenate([t[w] for t, w in zip(totals, words)])[first]
+    return totals, int(total.sum()), int((total > 0).sum())
 
 
 def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -118,12 +202,13 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     shards = max(1, -(-blocks // BLOCKS_A_SHARD))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    bits = grams.bits_for(total, SPARE)
+    rows = grams.dealt(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), "block", blocks)
 
     def gather(docs: pa.Table) -> pa.Table:
-        read = Reading(docs.column("text").to_pylist(), order)
+        read = Reading(docs.column("text").to_pylist(), order, bits)
         counts = read.counts(docs.column("learnt").to_numpy(zero_copy_only=False).astype(bool))
-        parts = {s: (a, b) for s, a, b in grams.shards_of(read.keys, shards)}
+        parts = {s: (a, b) for s, a, b in grams.shards_of(read.keys, shards, bits)}
         spans = [parts.get(s, (0, 0)) for s in range(shards)]  # every shard hears of every block, to answer with its totals
         return pa.table(
             {
@@ -135,21 +220,23 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         )
 
     def answer(shard: pa.Table) -> pa.Table:
-        keys = [grams.unpack(x) for x in shard.column("keys").to_pylist()]
-        totals, n, v = _summed(keys, [grams.unpack_counts(x) for x in shard.column("counts").to_pylist()])
+        totals, n, v = _summed([grams.unpack(x.as_py()) for x in shard.column("keys")], [grams.unpack_counts(x.as_py()) for x in shard.column("counts")])
         size = len(totals)
         return pa.table({"block": shard.column("block"), "shard": shard.column("shard"), "totals": pa.array([grams.pack_counts(t) for t in totals], pa.binary()), "n": pa.array([n] * size, pa.int64()), "v": pa.array([v] * size, pa.int64())})
 
     def walk(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        read = Reading(docs.column("text").to_pylist(), order)
+        read = Reading(docs.column("text").to_pylist(), order, bits)
         parts = sorted(zip(answers.column("shard").to_pylist(), answers.column("totals").to_pylist()))
         n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
-        known, base, own = read.walk(np.concatenate([grams.unpack_counts(x) for _, x in parts]), n, v)
-        return pa.table({id_col: docs.column("id"), "learnt": docs.column("learnt"), "n_tokens": pa.array(read.size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array([n] * docs.num_rows, pa.int64()), "base_score": pa.array(base.astype(float)), "score": pa.array(own.astype(float))})
+        count = np.concatenate([grams.unpack_counts(x) for _, x in parts])
+        automaton = Automaton(read, count, n, v)
+        sums = lambda x: np.add.reduceat(x, read.first) if len(read.first) else np.zeros(0)
+        known, base = sums((count[read.at[0]] > 0).astype(np.int64)), sums(automaton.root_weight[read.at[0]])
+        return pa.table({id_col: docs.column("id"), "learnt": docs.column("learnt"), "n_tokens": pa.array(read.size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array([n] * docs.num_rows, pa.int64()), "base_score": pa.array(base.astype(float)), "score": pa.array(automaton.walk(read))})
 
     sent = rows.groupBy("block").applyInArrow(gather, "shard int, block int, keys binary, counts binary")
-    answers = sent.groupBy("shard").applyInArrow(answer, "block int, shard int, totals binary, n long, v long")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, f"{id_col} long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = grams.dealt(sent, "shard", shards).groupBy("shard").applyInArrow(answer, "block int, shard int, totals binary, n long, v long")
+    return rows.groupBy("block").cogroup(grams.dealt(answers, "block", blocks).groupBy("block")).applyInArrow(walk, f"{id_col} long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def report(df: DataFrame) -> DataFrame:
