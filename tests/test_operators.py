@@ -133,3 +133,67 @@ def test_units_and_bands(spark):
     assert [r[0] for r in spark.createDataFrame([(70.0,), (50.0,), (30.0,), (29.9,), (None,)], "i double").select(agronomy.risk_band(F.col("i"))).collect()] == ["LOW", "MEDIUM", "HIGH", "VERY_HIGH", None]
     low, high = agronomy.wilson(F.lit(0.0), F.lit(0.0))
     assert spark.range(1).select(low, high).first() == (None, None)
+
+
+def test_accuracy_by_class_published_example(spark):
+    names = ["deforestation", "forest_gain", "stable_forest", "stable_nonforest"]
+    counts = [[66, 0, 5, 4], [0, 55, 8, 12], [1, 0, 153, 11], [2, 1, 9, 313]]
+    rows = [(names[i], names[j]) for i in range(4) for j in range(4) for _ in range(counts[i][j])]
+    sample = spark.createDataFrame(rows, "m string, r string").withColumn("stratum", F.col("m"))
+    areas = spark.createDataFrame(list(zip(names, [18_000.0, 13_500.0, 288_000.0, 580_500.0], [1e12] * 4)), "stratum string, area double, units double")
+    got = {r.label: r for r in evaluation.accuracy_by_class(sample, areas, "m", "r", "stratum", "area", "units").collect()}
+    want = {"deforestation": (0.88, 0.75, 0.07), "forest_gain": (0.73, 0.85, 0.10), "stable_forest": (0.93, 0.93, 0.04), "stable_nonforest": (0.96, 0.96, 0.02)}
+    for name, (ua, pa, ua_half) in want.items():
+        r = got[name]
+        assert r.users_accuracy == pytest.approx(ua, abs=0.006) and r.producers_accuracy == pytest.approx(pa, abs=0.006)
+        assert 1.96 * r.ua_se == pytest.approx(ua_half, abs=0.01) and r.pa_se > 0
+
+
+def test_accuracy_of_thin_strata_has_no_error(spark):
+    sample = spark.createDataFrame([("a", "a", "s"), ("a", "b", "t"), ("b", "b", "t")], "m string, r string, stratum string")
+    areas = spark.createDataFrame([("s", 1.0, 100.0), ("t", 3.0, 100.0)], "stratum string, area double, units double")
+    got = {r.label: r for r in evaluation.accuracy_by_class(sample, areas, "m", "r", "stratum", "area", "units").collect()}
+    assert got["a"].ua_se is None and got["a"].users_accuracy == pytest.approx(0.25 / (0.25 + 0.375))
+
+
+@pytest.mark.parametrize("parts", [2, 256])
+def test_cumulative_share_is_cume_dist(spark, parts):
+    from pyspark.sql import Window
+
+    rows = [(float(k % 37), k) for k in range(500)] + [(5.0, k) for k in range(300)] + [(None, 9)]
+    df = spark.createDataFrame(rows, "v double, k int")
+    got = evaluation.cumulative_share(df, "v", "share", parts)
+    want = df.where("v IS NOT NULL").withColumn("share", F.cume_dist().over(Window.orderBy("v")))
+    assert got.columns == ["v", "k", "share"]
+    shown = lambda df: sorted((r.v, r.k, round(r.share, 12)) for r in df.collect())
+    assert shown(got) == shown(want)
+    assert evaluation.cumulative_share(df.where("false"), "v", "share").count() == 0
+
+
+def test_boxes_overlap_once(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 3.0), (2, 10.0, 10.0, 11.0, 11.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    b = spark.createDataFrame([(7, 1.0, 1.0, 4.0, 4.0), (8, 3.0, 0.0, 5.0, 1.0), (9, -1.0, -1.0, 0.5, 0.5)], a.schema)
+    got = {(r.a, r.b): (r.shared, r.iou) for r in matching.overlapping_boxes(a, b, 1.0).collect()}
+    assert got == {(1, 7): (4.0, pytest.approx(4 / 14)), (1, 9): (0.25, pytest.approx(0.25 / 11))}
+
+
+def test_neighbours_are_all_near_pairs(spark):
+    import random
+
+    rnd = random.Random(4)
+    points = [(k, rnd.uniform(-70, 70), rnd.uniform(-30, 30)) for k in range(150)] + [(1000 + k, 69.9 + rnd.uniform(0, 0.5), rnd.uniform(0, 2)) for k in range(40)]
+    df = spark.createDataFrame(points, "id int, lat double, lon double")
+    got = {(r.a, r.b) for r in matching.neighbours(df, "id", "lat", "lon", 40.0, agronomy.haversine).collect()}
+
+    def km(p, q):
+        a, b, c, d = map(np.radians, (p[1], p[2], q[1], q[2]))
+        return 2 * 6371 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+
+    want = {(p[0], q[0]) for p in points for q in points if p[0] < q[0] and km(p, q) <= 40}
+    assert len(want) > 20 and got == want
+
+
+def test_upsert_of_equal_times_takes_the_new_row(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "k int, v string, at int")
+    new = spark.createDataFrame([(1, "c", 5), (2, "d", None), (3, "e", 1)], "k int, v string, at int")
+    assert sorted((r.k, r.v) for r in files.upserted(old, new, ["k"], "at").collect()) == [(1, "c"), (2, "d"), (3, "e")]

@@ -21,7 +21,7 @@ def duck():
 
 
 def shown(row):
-    return tuple(f"{v:.6g}" if isinstance(v, float) and math.isfinite(v) else str(v) for v in row)
+    return tuple(f"{v:.9g}" if isinstance(v, float) and math.isfinite(v) else str(v) for v in row)
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilth.sources.shared import shared_dir
+
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder that the session names (one of our own where it names none)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilth-"))
+    """The rows, written to the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

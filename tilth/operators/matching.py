@@ -11,13 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def within(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, low: Column, high: Column, how: str = "inner") -> DataFrame:
-    """Rows of right whose `at` is in [low, high] of the left row of the same key. The column names must differ but for keys."""
+def within(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, low: Column, high: Column, how: str = "inner", band_days: int | None = None) -> DataFrame:
+    """Rows of right whose `at` is in [low, high] of the left row of the same key. The column names must differ but for keys.
+
+    band_days, for inner joins on dates: left rows go to every band of so many days that they touch and meet only those,
+    so few keys with long histories don't meet whole.
+    """
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     on = at.between(low, high)
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
+    if band_days is None:
+        return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
+    band = lambda day: F.floor(F.unix_date(day) / band_days)
+    spread = left.withColumn("__touch", F.explode(F.sequence(band(low), band(high))))
+    return spread.join(renamed.withColumn("__band", band(at)), on & (F.col("__touch") == F.col("__band")), "inner").drop("__touch", "__band", *[f"__{k}" for k in keys])
 
 
 def overlap_days(start_1: Column, end_1: Column, start_2: Column, end_2: Column) -> Column:
@@ -45,9 +53,37 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: str
 
 
 def neighbours(points: DataFrame, key: str, lat: str, lon: str, km: float, distance) -> DataFrame:
-    """Pairs (a, b) with a < b no further apart than so many kilometres, met through bands of latitude of that height."""
-    row = F.floor(F.col(lat) / (km / 100.0))  # a degree of latitude is over 100 km, so a row and its neighbours suffice
-    one = points.select(F.col(key).alias("a"), F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a"), row.alias("row_a"))
-    two = points.select(F.col(key).alias("b"), F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b"), F.explode(F.array(row - 1, row, row + 1)).alias("row_b"))
-    pairs = one.join(two, (F.col("row_a") == F.col("row_b")) & (F.col("a") < F.col("b")))
+    """Pairs (a, b) with a < b no further apart than so many kilometres, met through cells of about that size: rows of
+    latitude, and in each row columns wide enough for its end nearer the pole. The date line is an edge."""
+    high = km / 100.0  # a degree of latitude is over 100 km, so a row and its neighbours suffice
+    row = F.floor(F.col(lat) / high)
+
+    def column(of: Column) -> Column:
+        wide = high / F.greatest(F.cos(F.radians(F.least((F.abs(of) + 2) * high, F.lit(89.0)))), F.lit(0.01))
+        return F.floor(F.col(lon) / wide)
+
+    one = points.select(F.col(key).alias("a"), F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a"), row.alias("row_a"), column(row).alias("column_a"))
+    two = points.withColumn("row_b", F.explode(F.array(row - 1, row, row + 1)))
+    across = F.explode(F.array(*[column(F.col("row_b")) + k for k in (-1, 0, 1)]))
+    two = two.select(F.col(key).alias("b"), F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b"), "row_b", across.alias("column_b"))
+    pairs = one.join(two, (F.col("row_a") == F.col("row_b")) & (F.col("column_a") == F.col("column_b")) & (F.col("a") < F.col("b")))
     return pairs.withColumn("km", distance(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("km") <= km).select("a", "b", "km")
+
+
+def overlapping_boxes(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs (a, b) of boxes (id, x0, y0, x1, y1) that overlap: shared area, both areas and intersection over union. Boxes
+    meet in the grid cells that they touch, and a pair counts in the cell of its shared corner alone, so no pair comes
+    twice. Cells should be about as large as boxes."""
+
+    def touched(df: DataFrame, name: str) -> DataFrame:
+        span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+        spread = df.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("x0", "y0", "x1", "y1")], F.explode(span("x0", "x1")).alias("column"), span("y0", "y1").alias("rows"))
+        return spread.withColumn("row", F.explode("rows")).drop("rows")
+
+    met = touched(left, "a").join(touched(right, "b"), ["column", "row"])
+    x0, y0 = F.greatest("x0_a", "x0_b"), F.greatest("y0_a", "y0_b")
+    x1, y1 = F.least("x1_a", "x1_b"), F.least("y1_a", "y1_b")
+    here = (F.floor(x0 / cell) == F.col("column")) & (F.floor(y0 / cell) == F.col("row"))
+    area = lambda n: (F.col(f"x1_{n}") - F.col(f"x0_{n}")) * (F.col(f"y1_{n}") - F.col(f"y0_{n}"))
+    out = met.where(here & (x1 > x0) & (y1 > y0)).select("a", "b", ((x1 - x0) * (y1 - y0)).alias("shared"), area("a").alias("area_a"), area("b").alias("area_b"))
+    return out.withColumn("iou", F.col("shared") / (F.col("area_a") + F.col("area_b") - F.col("shared")))

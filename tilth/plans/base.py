@@ -78,12 +78,12 @@ CYCLES = """cycles AS (
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell (nation), day, rain in mm and n (orders of the day)."""
+    """cell (nation), day, rain in mm and n (orders of the day). Sums are exact, so no value hangs on the order of rows."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-    return joined.groupBy(F.col("c_nationkey").alias("cell"), F.col("o_orderdate").cast("date").alias("day")).agg(F.round(F.sum("o_totalprice") / 20000, 6).alias("rain"), F.count(F.lit(1)).alias("n"))
+    return joined.groupBy(F.col("c_nationkey").alias("cell"), F.col("o_orderdate").cast("date").alias("day")).agg((F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / 20000).alias("rain"), F.count(F.lit(1)).alias("n"))
 
 
 WEATHER = """weather AS (
-  SELECT c_nationkey AS cell, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice) / 20000, 6) AS rain, count(*) AS n
+  SELECT c_nationkey AS cell, CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(o_totalprice AS DECIMAL(15, 2))) AS DOUBLE) / 20000 AS rain, count(*) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""

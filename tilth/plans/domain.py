@@ -33,7 +33,7 @@ def abstain_gate(spark, sf_dir):
     return by.select("l_orderkey", F.col("top")[0]["crop"].alias("crop"), F.round(p1, 9).alias("p1"), F.round(p1 - p2, 9).alias("gap"), decision.alias("decision"))
 
 
-_CUES = f"""{OBS}, cue AS (SELECT parcel_id, CAST(day - DATE '{ANCHOR}' AS INTEGER) AS d, CASE sensor WHEN 'signup' THEN 2.0 ELSE 4.0 END AS sigma FROM obs WHERE sensor IN ('signup', 'purchase') AND cloud < 10),
+_CUES = f"""{OBS}, cue AS (SELECT parcel_id, CAST(day - DATE '{ANCHOR}' AS INTEGER) AS d, CASE sensor WHEN 'signup' THEN 2.0 WHEN 'purchase' THEN 4.0 ELSE 6.0 END AS sigma FROM obs),
 c AS (SELECT DISTINCT parcel_id, x FROM cue, range(0, 30) t(x)),
 l AS (SELECT c.parcel_id, c.x, sum(ln(0.9 * exp(-power((c.x - d) / sigma, 2) / 2) / (sigma * sqrt(2 * pi())) + 0.1 / 30)) + ln(1 - abs(c.x - 15) / 31.0) AS lp FROM c JOIN cue USING (parcel_id) GROUP BY c.parcel_id, c.x),
 m AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY parcel_id)) AS w FROM l), n AS (SELECT parcel_id, x, sum(w) OVER (PARTITION BY parcel_id ORDER BY x) / sum(w) OVER (PARTITION BY parcel_id) AS cum FROM m)"""
@@ -43,8 +43,8 @@ m AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY parcel_id)) AS w FROM l), n
 SELECT parcel_id, CAST(p10 AS INTEGER) AS p10, CAST(p50 AS INTEGER) AS p50, CAST(p90 AS INTEGER) AS p90, CASE WHEN p90 - p10 > 12 THEN 'window' ELSE 'date' END AS status FROM q""")
 def sowing_posterior(spark, sf_dir):
     """Candidate days times a triangular prior times every cue's mixture; all by explode, sums of logarithms and windows."""
-    o = observations(spark, sf_dir).where(F.col("sensor").isin("signup", "purchase") & (F.col("cloud") < 10))
-    cue = o.select("parcel_id", F.datediff("day", F.lit(ANCHOR).cast("date")).alias("d"), F.when(F.col("sensor") == "signup", 2.0).otherwise(4.0).alias("sigma"))
+    spread = F.when(F.col("sensor") == "signup", 2.0).when(F.col("sensor") == "purchase", 4.0).otherwise(6.0)
+    cue = observations(spark, sf_dir).select("parcel_id", F.datediff("day", F.lit(ANCHOR).cast("date")).alias("d"), spread.alias("sigma"))
     x = F.explode(F.sequence(F.lit(0), F.lit(29))).alias("x")
     near = F.exp(-F.pow((F.col("x") - F.col("d")) / F.col("sigma"), F.lit(2.0)) / 2) / (F.col("sigma") * F.sqrt(2 * F.pi()))
     logs = cue.select("*", x).groupBy("parcel_id", "x").agg(F.sum(F.ln(0.9 * near + 0.1 / 30)).alias("s")).withColumn("lp", F.col("s") + F.ln(1 - F.abs(F.col("x") - 15) / 31.0))

@@ -117,4 +117,5 @@ def centroid_distances(spark, sf_dir):
 @query("""SELECT vec_id, label, CAST(vec_id // 10 % 5 AS INTEGER) AS fold, count(*) OVER (PARTITION BY vec_id // 10 % 5) AS fold_size FROM embeddings""")
 def group_folds(spark, sf_dir):
     fold = (F.floor(F.col("vec_id") / 10) % 5).cast("int")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", fold.alias("fold")).withColumn("fold_size", F.count(F.lit(1)).over(Window.partitionBy("fold")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", fold.alias("fold"))
+    return rows.join(rows.groupBy("fold").agg(F.count(F.lit(1)).alias("fold_size")), "fold")

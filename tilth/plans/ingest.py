@@ -41,9 +41,9 @@ def pps_sample(spark, sf_dir):
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY sha256('order|' || s_suppkey), s_suppkey) AS INTEGER) AS n, s_suppkey, 'S' || lpad(CAST(row_number() OVER (ORDER BY sha256('order|' || s_suppkey), s_suppkey) AS VARCHAR), 4, '0') AS sample_id FROM supplier""")
 def shuffled_ids(spark, sf_dir):
-    """A seeded permutation of the suppliers; a sampling frame is small, so one window numbers it."""
-    n = F.row_number().over(Window.orderBy(evaluation.seeded_order("order", "s_suppkey"), "s_suppkey"))
-    return table(spark, sf_dir, "supplier").select(n.alias("n"), "s_suppkey").withColumn("sample_id", F.concat(F.lit("S"), F.lpad(F.col("n").cast("string"), 4, "0")))
+    """A seeded permutation of the suppliers, numbered within ranges of the hash and by the ranges' running counts."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", evaluation.seeded_order("order", "s_suppkey").alias("key"))
+    return evaluation.numbered_by_hash(rows, "key", "s_suppkey", "n").select(F.col("n").cast("int").alias("n"), "s_suppkey").withColumn("sample_id", F.concat(F.lit("S"), F.lpad(F.col("n").cast("string"), 4, "0")))
 
 
 @query("""SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS scored, count(*) FILTER (l_shipdate < TIMESTAMP '1995-06-01') AS skipped, count(*) FILTER (starts_with(l_returnflag, 'R')) AS failed FROM lineitem GROUP BY 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilth.functions.agronomy import risk_band
-from tilth.operators import series
+from tilth.operators import evaluation, series
 from tilth.plans.base import ANCHOR, CYCLES, OBS, WEATHER, cycles, observations, query, weather
 
 DAYS = 3
@@ -122,12 +122,12 @@ def fallow_between(spark, sf_dir):
 
 
 @query(f"""WITH {WEATHER}, c AS (SELECT cell, dayofyear(day) AS doy, avg(rain) AS normal, count(*) AS years FROM weather GROUP BY 1, 2)
-SELECT w.cell, w.day, w.rain, round(c.normal, 3) AS normal, round(w.rain - c.normal, 3) AS anomaly, c.years FROM weather w JOIN c ON c.cell = w.cell AND c.doy = dayofyear(w.day)""")
+SELECT w.cell, w.day, w.rain, round(c.normal, 10) AS normal, round(w.rain - c.normal, 10) AS anomaly, c.years FROM weather w JOIN c ON c.cell = w.cell AND c.doy = dayofyear(w.day)""")
 def day_of_year_climatology(spark, sf_dir):
     w = weather(spark, sf_dir).withColumn("doy", F.dayofyear("day"))
     own = Window.partitionBy("cell", "doy")
     normal = F.avg("rain").over(own)
-    return w.select("cell", "day", "rain", F.round(normal, 3).alias("normal"), F.round(F.col("rain") - normal, 3).alias("anomaly"), F.count(F.lit(1)).over(own).alias("years"))
+    return w.select("cell", "day", "rain", F.round(normal, 10).alias("normal"), F.round(F.col("rain") - normal, 10).alias("anomaly"), F.count(F.lit(1)).over(own).alias("years"))
 
 
 @query(f"""WITH {WEATHER}, r AS (SELECT cell, day, sum(rain) OVER (PARTITION BY cell ORDER BY day ROWS 2 PRECEDING) AS r3 FROM weather WHERE month(day) IN (6, 7)),
@@ -150,12 +150,12 @@ def dry_spells(spark, sf_dir):
 
 @query(f"""WITH {WEATHER}, m AS (SELECT cell, year(day) AS year, sum(rain) AS total FROM weather GROUP BY 1, 2),
 z AS (SELECT *, avg(total) OVER w AS mean, stddev_pop(total) OVER w AS sd, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY cell))
-SELECT cell, CAST(year AS INTEGER) AS year, round(total, 2) AS total, CASE WHEN n >= 3 AND sd > 0 THEN round((total - mean) / sd, 3) END AS index FROM z""")
+SELECT cell, CAST(year AS INTEGER) AS year, round(total, 7) AS total, CASE WHEN n >= 3 AND sd > 0 THEN round((total - mean) / sd, 8) END AS index FROM z""")
 def standardised_rain(spark, sf_dir):
     yearly = weather(spark, sf_dir).groupBy("cell", F.year("day").alias("year")).agg(F.sum("rain").alias("total"))
     own = Window.partitionBy("cell")
-    z = F.when((F.count(F.lit(1)).over(own) >= 3) & (F.stddev_pop("total").over(own) > 0), F.round(F.try_divide(F.col("total") - F.avg("total").over(own), F.stddev_pop("total").over(own)), 3))
-    return yearly.select("cell", "year", F.round("total", 2).alias("total"), z.alias("index"))
+    z = F.when((F.count(F.lit(1)).over(own) >= 3) & (F.stddev_pop("total").over(own) > 0), F.round(F.try_divide(F.col("total") - F.avg("total").over(own), F.stddev_pop("total").over(own)), 8))
+    return yearly.select("cell", "year", F.round("total", 7).alias("total"), z.alias("index"))
 
 
 @query(f"""WITH {OBS}, d AS (SELECT parcel_id, day, avg(signal) AS s, count(signal) AS n FROM obs GROUP BY 1, 2),
@@ -192,12 +192,12 @@ banded AS (SELECT *, CASE WHEN index >= 70 THEN 'LOW' WHEN index >= 50 THEN 'MED
 @query(f"WITH {_SUMMARY} SELECT risk, count(*) AS parcels, round(avg(index), 6) AS mean_index, round(avg(mean_signal), 9) AS mean_signal, CAST(sum(bins) AS BIGINT) AS bins, CAST(sum(observed) AS BIGINT) AS observed, max(longest) AS longest FROM banded GROUP BY risk")
 def portfolio_by_risk(spark, sf_dir):
     """Flagship: observations to a grid of best values, runs of missing bins, the parcel's place among all parcels, risk
-    bands and their table. The rank runs over one row a parcel."""
+    bands and their table. The rank goes by ranges of the mean, so no task holds all parcels."""
     grid = best(spark, sf_dir)
     longest = series.runs(grid, ["parcel_id"], "bin", F.col("missing")).groupBy("parcel_id").agg(F.max("run_length").alias("longest"))
     summary = grid.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("bins"), F.count("signal").alias("observed"), F.avg("signal").alias("mean_signal")).join(longest, "parcel_id", "left").na.fill(0, ["longest"])
-    place = F.cume_dist().over(Window.orderBy("mean_signal"))
-    scored = summary.where("mean_signal IS NOT NULL").withColumn("index", 100 * place * F.when(F.col("longest") > 3, 0.85).otherwise(1.0)).withColumn("risk", risk_band(F.col("index")))
+    ranked = evaluation.cumulative_share(summary.where("mean_signal IS NOT NULL"), "mean_signal", "place")
+    scored = ranked.withColumn("index", 100 * F.col("place") * F.when(F.col("longest") > 3, 0.85).otherwise(1.0)).withColumn("risk", risk_band(F.col("index")))
     return scored.groupBy("risk").agg(F.count(F.lit(1)).alias("parcels"), F.round(F.avg("index"), 6).alias("mean_index"), F.round(F.avg("mean_signal"), 9).alias("mean_signal"), F.sum("bins").alias("bins"), F.sum("observed").alias("observed"), F.max("longest").alias("longest"))
 
 

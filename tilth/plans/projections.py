@@ -75,14 +75,14 @@ _RA = f"(24 * 60 / pi() * 0.0820 * (1 + 0.033 * cos(2 * pi() * doy / 365)) * (ws
 
 @query(f"""WITH d AS (SELECT o_orderkey, c_nationkey, dayofyear(o_orderdate) AS doy, 20 + o_totalprice / 25000 AS tmax, 5 + o_totalprice / 30000 AS tmin, c_acctbal / 120 AS rh FROM orders JOIN customer ON o_custkey = c_custkey),
 t AS (SELECT *, 0.409 * sin(2 * pi() * doy / 365 - 1.39) AS tilt FROM d), s AS (SELECT *, acos(greatest(-1, least(1, -tan({_PHI}) * tan(tilt)))) AS ws FROM t)
-SELECT o_orderkey, round(greatest((greatest(10, least(35, tmax)) + greatest(10, least(35, tmin))) / 2 - 10, 0), 4) AS gdd, round(greatest(least((tmax + tmin) / 2, 35) - 10, 0), 4) AS gdd_mean,
+SELECT o_orderkey, round(greatest((greatest(10, least(35, tmax)) + greatest(10, least(35, tmin))) / 2 - 10, 0), 9) AS gdd, round(greatest(least((tmax + tmin) / 2, 35) - 10, 0), 9) AS gdd_mean,
        round({_RA}, 6) AS radiation, round(greatest(0.0023 * 0.408 * {_RA} * ((tmax + tmin) / 2 + 17.8) * sqrt(greatest(tmax - tmin, 0)), 0), 6) AS et0,
        round(greatest(0.6108 * exp(17.27 * ((tmax + tmin) / 2) / ((tmax + tmin) / 2 + 237.3)) * (1 - rh / 100), 0), 6) AS vpd FROM s""")
 def agro_weather(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     d = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", F.dayofyear("o_orderdate").alias("doy"), (20 + F.col("o_totalprice") / 25000).alias("tmax"), (5 + F.col("o_totalprice") / 30000).alias("tmin"), (F.col("c_acctbal") / 120).alias("rh"), (10.0 + F.col("c_nationkey")).alias("lat"))
     hi, lo, lat, doy = F.col("tmax"), F.col("tmin"), F.col("lat"), F.col("doy")
-    return d.select("o_orderkey", F.round(agro.gdd(hi, lo), 4).alias("gdd"), F.round(agro.gdd_mean_capped(hi, lo), 4).alias("gdd_mean"), F.round(agro.radiation(lat, doy), 6).alias("radiation"), F.round(agro.hargreaves(hi, lo, lat, doy), 6).alias("et0"), F.round(agro.vapour_deficit((hi + lo) / 2, F.col("rh")), 6).alias("vpd"))
+    return d.select("o_orderkey", F.round(agro.gdd(hi, lo), 9).alias("gdd"), F.round(agro.gdd_mean_capped(hi, lo), 9).alias("gdd_mean"), F.round(agro.radiation(lat, doy), 6).alias("radiation"), F.round(agro.hargreaves(hi, lo, lat, doy), 6).alias("et0"), F.round(agro.vapour_deficit((hi + lo) / 2, F.col("rh")), 6).alias("vpd"))
 
 
 @query("""WITH p AS (SELECT c_custkey, 8 + (c_custkey * 37 % 1000) / 40.0 AS lat, 70 + (c_custkey * 91 % 1000) / 40.0 AS lon FROM customer)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilth.plans import aggregates, domain, evaluations, ingest, observed, projections, relations, stateful  # noqa: F401  they register
+from tilth.plans import accuracy, aggregates, domain, evaluations, ingest, observed, performance, projections, relations, rollups, scoring, stateful  # noqa: F401  they register
 from tilth.plans.base import QUERIES, SQL
 
 FLAGSHIP = "portfolio_by_risk"

@@ -45,7 +45,7 @@ _CELLS = f"{CYCLES}, {WEATHER}, placed AS (SELECT cycles.*, s_nationkey AS cell
 @query(f"""WITH {_CELLS} SELECT cycle_id, cell, count(*) AS wet_reports, CAST(sum(w.n) AS BIGINT) AS looks, min(w.day) AS first_day FROM placed JOIN weather w USING (cell) WHERE w.day BETWEEN sown - 5 AND harvested + 5 GROUP BY 1, 2""")
 def cycle_weather_window(spark, sf_dir):
     placed = cycles(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("parcel_id") == F.col("s_suppkey")).select("cycle_id", F.col("s_nationkey").alias("cell"), "sown", "harvested")
-    hit = matching.within(placed, weather(spark, sf_dir), ["cell"], F.col("day"), F.date_sub("sown", 5), F.date_add("harvested", 5))
+    hit = matching.within(placed, weather(spark, sf_dir), ["cell"], F.col("day"), F.date_sub("sown", 5), F.date_add("harvested", 5), band_days=14)
     return hit.groupBy("cycle_id", "cell").agg(F.count(F.lit(1)).alias("wet_reports"), F.sum("n").alias("looks"), F.min("day").alias("first_day"))
 
 
@@ -96,17 +96,19 @@ def sensor_pairs(spark, sf_dir):
     return matching.banded(left, right, ["parcel_id"], "d1", "d2", 1).select("one", "two", (F.col("d2") - F.col("d1")).alias("days"), F.round(F.col("s2") - F.col("s1"), 9).alias("offset"))
 
 
-@query(f"""WITH {CYCLES}, c AS (SELECT cycle_id, crop_id, CAST(sown - DATE '1992-01-01' AS INTEGER) AS d, days FROM cycles WHERE crop_id % 4 = 0),
-p AS (SELECT a.cycle_id, count(*) AS peers, avg(b.days) AS mean_days FROM c a JOIN c b ON a.crop_id = b.crop_id AND abs(a.d - b.d) <= 200 AND a.cycle_id <> b.cycle_id GROUP BY 1),
+@query(f"""WITH {CYCLES}, c AS (SELECT row_number() OVER () AS r, cycle_id, crop_id, CAST(sown - DATE '1992-01-01' AS INTEGER) AS d, days FROM cycles),
+p AS (SELECT a.r, count(*) AS peers, avg(b.days) AS mean_days FROM c a JOIN c b ON a.crop_id = b.crop_id AND abs(a.d - b.d) <= 200 AND a.r <> b.r GROUP BY 1),
 w AS (SELECT crop_id, avg(days) AS crop_days FROM c GROUP BY 1)
-SELECT c.cycle_id, coalesce(p.peers, 0) AS peers, round(CASE WHEN p.peers >= 3 THEN p.mean_days ELSE w.crop_days END, 6) AS reference FROM c LEFT JOIN p USING (cycle_id) JOIN w USING (crop_id)""")
+SELECT c.cycle_id, coalesce(p.peers, 0) AS peers, round(CASE WHEN p.peers >= 3 THEN p.mean_days ELSE w.crop_days END, 6) AS reference FROM c LEFT JOIN p USING (r) JOIN w USING (crop_id)""")
 def cohort_within(spark, sf_dir):
-    c = cycles(spark, sf_dir).where("crop_id % 4 = 0").select("cycle_id", "crop_id", F.datediff("sown", F.lit("1992-01-01").cast("date")).alias("d"), "days")
-    other = c.select("crop_id", F.col("cycle_id").alias("peer"), F.col("d").alias("peer_d"), F.col("days").alias("peer_days"))
-    peers = matching.banded(c, other, ["crop_id"], "d", "peer_d", 200).where("cycle_id <> peer").groupBy("cycle_id").agg(F.count(F.lit(1)).alias("peers"), F.avg("peer_days").alias("mean_days"))
-    crop = c.groupBy("crop_id").agg(F.avg("days").alias("crop_days"))
-    out = c.join(peers, "cycle_id", "left").join(crop, "crop_id")
-    return out.select("cycle_id", F.coalesce("peers", F.lit(0).cast("long")).alias("peers"), F.round(F.when(F.col("peers") >= 3, F.col("mean_days")).otherwise(F.col("crop_days")), 6).alias("reference"))
+    """Cycles of the crop sown within 200 days, the cycle itself left out; the whole crop where they are under three. Sums
+    go by crop and day first, so no pair of cycles is made and a window holds a crop's days, not its cycles."""
+    c = cycles(spark, sf_dir).select("cycle_id", "crop_id", F.datediff("sown", F.lit("1992-01-01").cast("date")).alias("d"), "days")
+    daily = c.groupBy("crop_id", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("days").alias("total"))
+    near, crop = Window.partitionBy("crop_id").orderBy("d").rangeBetween(-200, 200), Window.partitionBy("crop_id")
+    around = daily.select("crop_id", "d", F.sum("n").over(near).alias("n"), F.sum("total").over(near).alias("total"), (F.sum("total").over(crop) / F.sum("n").over(crop)).alias("crop_days"))
+    out = c.join(around, ["crop_id", "d"]).withColumn("peers", F.col("n") - 1).withColumn("mean_days", F.try_divide((F.col("total") - F.col("days")).cast("double"), F.col("peers")))
+    return out.select("cycle_id", "peers", F.round(F.when(F.col("peers") >= 3, F.col("mean_days")).otherwise(F.col("crop_days")), 6).alias("reference"))
 
 
 _POINTS = "pt AS (SELECT s_suppkey AS id, 18 + (s_suppkey * 37 % 400) / 100.0 AS lat, 74 + (s_suppkey * 53 % 400) / 100.0 AS lon FROM supplier)"

@@ -23,12 +23,12 @@ def parcel_clusters(spark, sf_dir):
 
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_event_windows(spark, sf_dir):
-    return jobs.to_the_end(jobs.event_windows(jobs.source(spark, f"{sf_dir}/events.parquet")))
+    return jobs.to_the_end(jobs.event_windows(jobs.source(spark, f"{sf_dir}/events.parquet")), ["day", "event_type"])
 
 
 @query("""SELECT conv_id, count(*) AS events, max(turn) AS last_turn, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'user' THEN 'RUNNING' ELSE 'DONE' END AS status FROM conversations GROUP BY 1""")
 def stream_job_states(spark, sf_dir):
-    return jobs.to_the_end(jobs.job_states(jobs.source(spark, f"{sf_dir}/conversations.parquet")))
+    return jobs.to_the_end(jobs.job_states(jobs.source(spark, f"{sf_dir}/conversations.parquet")), ["conv_id"])
 
 
 @query("""WITH w AS (SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS n FROM events) SELECT user_id, max(n) AS most, count(*) FILTER (n >= 4) AS limited FROM w GROUP BY 1""")

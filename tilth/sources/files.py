@@ -39,10 +39,12 @@ def flexible_json(spark: SparkSession, path: str, names: dict[str, Sequence[str]
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], updated: str) -> DataFrame:
-    """Both tables' rows with the latest of each key."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(updated)))
-    return both.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """Both tables' rows with the latest of each key; of rows as late as each other a new one, then the one with the
+    greatest hash, so that the choice never hangs on the order of rows. A missing time is older than any."""
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    mark = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in both.columns])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(updated), F.desc("__new"), F.desc(mark)))
+    return both.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__new")
 
 
 def alive(df: DataFrame, expires: str, now: Column | None = None) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilth.sources.shared import shared_dir
+
 
 def shared(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilth-")
-    return f"{folder}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -24,16 +25,21 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return stream.parquet(path)
 
 
-def to_the_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs the stream over all that is available; each batch replaces (complete) or adds to (append) the table."""
+def to_the_end(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs the stream over all that is available. Each batch adds only the rows of the keys that it changed, under its
+    number; the table's rows are those of the last batch of each key. A batch that is run again adds the same rows, and
+    what the watermark has closed leaves the state."""
     spark, place = stream.sparkSession, shared(stream.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/table")
+        batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(f"{place}/table")
 
-    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).foreachBatch(put).start()
+    running = stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).foreachBatch(put).start()
     running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/table")
+    rows = spark.read.schema(stream.withColumn("__batch", F.lit(0)).schema).parquet(f"{place}/table")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__row"))
+    return last.select(*keys, "__row.*").select(*stream.columns)
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "45 minutes") -> DataFrame:
