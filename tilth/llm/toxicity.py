@@ -6,14 +6,19 @@ left out. Landmark words give the Nyström features K(x, L) K(L, L)^-1/2, on whi
 loss is trained. Because the kernel has an explicit (hashed) feature map, the trained machine folds into one weight a
 subsequence, and scoring a word is a sum over its subsequences, however many landmarks there were.
 
-Labels belong to documents, while insults are words of their sentences: training takes the word that most likely made
-a document toxic as its witness and learns again from better witnesses. A document's score is a logistic function of
-its words' margins: the three largest, how many are high, and how many there are.
+Labels belong to documents, while insults are words of their sentences: training takes the words that most likely made
+a document toxic as its witnesses and learns again from better witnesses. A document's score is a logistic function of
+its words' margins: the three largest, and how many words, and which share of them, pass each of three heights. That
+function is fitted on margins that a machine trained without the document gave it, so it knows how far margins of
+unseen documents fall, and with toxic rows weighing TOXIC_WEIGHT, for labels hold few of them. The machine that scores
+is the mean of those that each left a part of the documents out; all have seen as many.
 
 Only the text enters a score. Training takes at most `most_a_class` labelled documents of each label, chosen by a hash
-of the id; this is the only sample. Defined cases: null or empty text scores as a text without words; null labels and
-labels without a document are left out; repeated rows each give a row; with labels of one kind only, or no words to
-learn from, every score is the share of toxic labels. An empty table gives no rows.
+of the id, of at most `most_chars` characters each, and of their clean words the CLEAN_WORDS that are commonest or that
+the machine finds most toxic; these are the only samples, and scoring reads every text whole. Defined cases: null or
+empty text scores as a text without words; null labels and labels without a document are left out; repeated rows each
+give a row, and equal texts equal scores; with labels of one kind only, or no words to learn from, every score is the
+share of toxic labels. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +37,11 @@ from tilth.llm.common import small_batches
 SPAN, DECAY, BITS = 7, 0.5, 18
 #: Words of a toxic document that train the machine.
 WITNESSES = 3
-LANDMARKS, ROUNDS, HARD = 300, 3, 20_000
+LANDMARKS, ROUNDS, CLEAN_WORDS, PARTS = 300, 2, 8_000, 3
+#: The share of toxic documents that a word must be in to be a witness; two at least.
+SHARED = 0.006
+#: What a toxic row weighs, and the heights of margins that a document's words are counted over.
+TOXIC_WEIGHT, HEIGHTS = 8.0, (0.0, 0.3, 0.6)
 LONGEST, STRIDE = 32, 16
 THRESHOLD = 0.7
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -155,12 +164,12 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
+    w, penalty = np.zeros(x.shape[1]), np.array([*[ridge] * (x.shape[1] - 1), 1e-6])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([*[ridge] * (x.shape[1] - 1), 1e-6]), x.T @ (y - p) - np.array([*[ridge] * (x.shape[1] - 1), 0]) * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -170,10 +179,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 def _summary(values: np.ndarray) -> list[float]:
     """What a document's words' margins tell."""
     if not len(values):
-        return [-1.0, -1.0, -1.0, 0.0, 0.0, 0.0]
+        return [-1.0, -1.0, -1.0, *[0.0] * (2 * len(HEIGHTS) + 1)]
     top = np.sort(np.partition(values, len(values) - 3)[-3:]) if len(values) > 3 else np.sort(np.append(values, [-1.0] * (3 - len(values))))
-    hits = int((values > 0.4).sum())
-    return [*np.clip(top, -1, 1).tolist(), float(np.log1p(hits)), hits / len(values), float(np.log1p(len(values)))]
+    over = np.array([(values > h).sum() for h in HEIGHTS], float)
+    return [*np.clip(top, -1, 1), *np.log1p(over), *np.sqrt(over / len(values)), np.log1p(len(values))]
 
 
 @dataclass
@@ -191,26 +200,19 @@ class Model:
             known.clear()
             new = list(set().union(*split))
         known.update(zip(new, margins(new, self.beta, self.bias).tolist()))
-        x = np.array([_summary(np.fromiter(map(known.__getitem__, own), float, len(own))) for own in split]).reshape(-1, 6)
+        x = np.array([_summary(np.fromiter(map(known.__getitem__, own), float, len(own))) for own in split]).reshape(len(split), -1)
         return 1 / (1 + np.exp(-np.clip(x @ self.logistic[:-1] + self.logistic[-1], -30, 30)))
 
 
-def _spread(word: str, mark: str) -> str:
-    return mark.join(word)
+def _constant(share: float) -> Model:
+    width = len(_summary(np.zeros(0)))
+    return Model(np.zeros(1 << BITS, np.float32), -1.0, np.array([*[0.0] * width, np.log(share / (1 - share))]))
 
 
-def train(texts: list[str | None], toxic: list[int]) -> Model:
-    """A model from labelled documents."""
-    y = np.array(toxic)
-    if not len(y) or y.min() == y.max() or not any(units(t) for t in texts):
-        share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
-        return Model(np.zeros(1 << BITS, np.float32), -1.0, np.array([0.0, 0.0, 0.0, 0.0, 0.0, 0.0, np.log(share / (1 - share))]))
-    place: dict[str, int] = {}
-    docs = [np.array([place.setdefault(w, len(place)) for w in units(t)], np.int32) for t in texts]
-    words = list(place)
-    del place
+def _trained(docs: list[np.ndarray], y: np.ndarray, words: list[str]) -> tuple[np.ndarray, float]:
+    """Weights and bias of a machine from documents, given as numbers of their words."""
     sets = [np.unique(d) for d in docs]
-    seen = [np.bincount(np.concatenate([s for s, t in zip(sets, toxic) if t == label]), minlength=len(words)) for label in (0, 1)]
+    seen = [np.bincount(np.concatenate([s for s, t in zip(sets, y) if t == label]), minlength=len(words)) for label in (0, 1)]
     odds = np.log((seen[1] + 0.1) / (y == 1).sum()) - np.log((seen[0] + 0.5) / (y == 0).sum())
     strength = odds * np.log1p(seen[1])
     ranked = np.lexsort((np.arange(len(words)), -strength))
@@ -226,14 +228,15 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
 
     clean = common[(seen[1][common] == 0) | (odds[common] < 1)]
     # only what several toxic documents share, and clean ones hardly have, can be a witness
-    suspects = [s[(seen[1][s] > 1) & (odds[s] > 2)] for s, t in zip(sets, toxic) if t]
+    many = max(2.0, SHARED * (y == 1).sum())
+    suspects = [s[(seen[1][s] >= many) & (odds[s] > 2)] for s, t in zip(sets, y) if t]
     suspected = np.unique(np.concatenate(suspects)) if suspects else np.zeros(0, np.int64)
     del sets
     best = lambda key: np.concatenate([s[np.argsort(-key[s], kind="stable")[:WITNESSES]] for s in suspects])
-    witnesses, hard, key = best(strength), clean[:HARD], strength.copy()
+    witnesses, hard, key = best(strength), clean[:CLEAN_WORDS], strength.copy()
     for _ in range(ROUNDS):
         positive, times = np.unique(witnesses, return_counts=True)
-        spread = [_spread(w, m) for w in of(positive) for m in ("*", "-") if 3 < len(w) <= 12]
+        spread = [m.join(w) for w in of(positive) for m in "*-" if 3 < len(w) <= 12]
         every = of(positive) + spread + of(hard)
         label = np.array([1.0] * (len(positive) + len(spread)) + [-1.0] * len(hard))
         weight = np.concatenate([1.0 + np.log1p(times), np.full(len(spread), 0.5), np.log1p(seen[0][hard])])
@@ -244,21 +247,52 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         key[suspected] = margins(of(suspected), beta, bias) + 0.2 * np.minimum(odds[suspected], 5)
         witnesses = best(key)
         value_clean = margins(of(clean), beta, bias)
-        hard = clean[np.union1d(np.argsort(-value_clean, kind="stable")[: HARD // 2], np.arange(min(len(clean), HARD // 2)))]
-    known = margins(words, beta, bias)
-    x = np.array([_summary(known[own]) for own in docs])
-    return Model(beta, bias, _logistic(x, y.astype(float)))
+        hard = clean[np.union1d(np.argsort(-value_clean, kind="stable")[: CLEAN_WORDS // 2], np.arange(min(len(clean), CLEAN_WORDS // 2)))]
+    return beta, bias
+
 
+def train(texts: list[str | None], toxic: list[int]) -> Model:
+    """A model from labelled documents."""
+    y = np.array(toxic)
+    if not len(y) or y.min() == y.max() or not any(units(t) for t in texts):
+        return _constant(float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)))
+    place: dict[str, int] = {}
+    docs = [np.array([place.setdefault(w, len(place)) for w in units(t)], np.int32) for t in texts]
+    words = list(place)
+    del place
 
-def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_a_class: int = 2000) -> Model:
+    def summaries(rows: np.ndarray, beta: np.ndarray, bias: float) -> list[list[float]]:
+        held = np.unique(np.concatenate([docs[k] for k in rows]))
+        value = np.zeros(len(words))
+        value[held] = margins([words[k] for k in held], beta, bias)
+        return [_summary(value[docs[k]]) for k in rows]
+
+    part = np.empty(len(y), np.int64)  # each label is dealt out evenly
+    for label in (0, 1):
+        part[y == label] = np.arange((y == label).sum()) % PARTS
+    machines, x = [], np.zeros((len(docs), len(_summary(np.zeros(0)))))
+    for k in range(PARTS):
+        rest, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if not 0 < y[rest].sum() < len(rest) or not any(len(docs[i]) for i in rest):
+            rest = np.arange(len(y))  # too few labels to leave a part out
+        machines.append(_trained([docs[i] for i in rest], y[rest], words))
+        if len(own):
+            x[own] = summaries(own, *machines[-1])
+    beta = np.mean([m[0] for m in machines], axis=0, dtype=np.float32)
+    bias = float(np.mean([m[1] for m in machines]))
+    return Model(beta, bias, _logistic(x, y.astype(float), np.where(y == 1, TOXIC_WEIGHT, 1.0)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_a_class: int = 2000, most_chars: int = 200_000) -> Model:
     """Learn from the documents with a label whose id passes `learn` (a column expression of id_col), at most so many of
-    each label. Their ids are the only broadcast."""
+    each label and of texts of at most most_chars characters, so the driver holds a bounded sample. Their ids are the only
+    broadcast."""
     known = labels.where(F.col(label_col).isNotNull() & learn).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__label"))
     chosen = None
     for label in (0, 1):
         own = known.where(F.col("__label") == label).orderBy(F.xxhash64("__id"), "__id").limit(most_a_class)
         chosen = own if chosen is None else chosen.unionByName(own)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__id").where(F.coalesce(F.length("__text"), F.lit(0)) <= most_chars).dropDuplicates(["__id"]).collect()
     rows.sort(key=lambda r: r["__id"])
     return train([r["__text"] for r in rows], [r["__label"] for r in rows])
 
