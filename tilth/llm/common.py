@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilth.sources.shared import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,14 +30,6 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which a cluster shares; only where none is set, one of our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilth-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that lost executors cost no rerun of what came before."""
     shared_dir(df.sparkSession)
@@ -58,7 +50,8 @@ def boxed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with the session's Arrow batches held to so many rows: whole texts are long, and a task holds a batch twice."""
+    """df, with the session's Arrow batches held to so many rows from here on: whole texts are long, a task holds a batch
+    twice, and the size is read when a plan runs, so it can't be put back here. Only a greater size is lowered."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

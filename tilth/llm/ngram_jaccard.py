@@ -6,7 +6,8 @@ their first document before.
 
 Index lists (one a shingle, split into blocks by set size) are skipped by position: two sets that meet at positions i
 and j can still share min(n - i, m - j) shingles, and a pair that cannot reach the threshold is never looked at; blocks
-more than one size step apart never meet. Within a block one set, the leader, is answered first. Every other set is
+more than one size step apart never meet. Within a block one set, the leader, is answered first: the one with
+the fewest shingles of its own, which is nearest to what its group has in common. Every other set is
 compared with the leaders of its block and of the block below, so a group of near copies is tied together by as many
 comparisons as it has members. What remains are pairs whose classes are still apart; those are derived from the
 leaders' answers by the triangle inequality of the Jaccard distance (|d(x, l) - d(y, l)| > 1 - t rules a pair out) and
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tilth.llm import grams
 from tilth.llm.common import WORD, boxed, cut, whole
+from tilth.operators import graph
 
 #: Rows without an id stand under their text's hash, above all ids.
 NULL_ID = 1 << 62
@@ -78,7 +80,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def nodes_and_index(keyed: DataFrame, first: DataFrame, percent: int, size: int, total: int, block_bytes: int) -> DataFrame:
-    """A row a node: node, n (shingles), tokens (packed, in the order of all shingles; only where a prefix meets another
+    """A row a node: node, n (shingles), lone (shingles of no other set), tokens (packed, in the order of all shingles; only where a prefix meets another
     set), and the tokens and positions of that prefix.
 
     keyed: id, key_1, key_2, text, block. first: block, node, key_1, key_2 of the document that stands for its copies.
@@ -116,17 +118,18 @@ def nodes_and_index(keyed: DataFrame, first: DataFrame, percent: int, size: int,
         keys, _ = keys_of(sets)
         held_in = np.concatenate([np.zeros(0, np.int64), *(grams.unpack_counts(x) for _, x in rows)])
         del rows
-        n, tokens, heads, places = [], [], [], []
+        n, lone, tokens, heads, places = [], [], [], [], []
         for own in sets:
             n.append(len(own))
             many = held_in[np.searchsorted(keys, own >> shift)]
+            lone.append(int((many == 1).sum()))
             p = prefix(len(own)) if len(own) else 0
             order = np.lexsort((own, many))[:p]
             meets = np.flatnonzero(many[order] > 1)
             tokens.append(own.tobytes() if len(meets) else None)
             heads.append(own[order[meets]])
             places.append(meets)
-        return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array(n, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "head": _lists([h.view(np.int64) for h in heads], pa.int64()), "place": _lists(places, pa.int32())})
+        return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array(n, pa.int64()), "lone": pa.array(lone, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "head": _lists([h.view(np.int64) for h in heads], pa.int64()), "place": _lists(places, pa.int32())})
 
     docs = grams.dealt(keyed.select("id", "key_1", "key_2", "text", "block"), "block", blocks)
     # columns anew, for both sides come from the same rows and a cogroup would take one side's keys for the other's
@@ -134,7 +137,7 @@ def nodes_and_index(keyed: DataFrame, first: DataFrame, percent: int, size: int,
     sent = docs.groupBy("block").cogroup(grams.dealt(reps, "block", blocks).groupBy("block")).applyInArrow(count, "shard int, block int, keys binary, counts binary")
     answers = grams.dealt(sent, "shard", shards).groupBy("shard").applyInArrow(answer, "block int, shard int, totals binary")
     told = answers.unionByName(reps.withColumn("shard", F.lit(-1)), allowMissingColumns=True)
-    return docs.groupBy("block").cogroup(grams.dealt(told, "block", blocks).groupBy("block")).applyInArrow(index, "node long, n long, tokens binary, head array<long>, place array<int>")
+    return docs.groupBy("block").cogroup(grams.dealt(told, "block", blocks).groupBy("block")).applyInArrow(index, "node long, n long, lone long, tokens binary, head array<long>, place array<int>")
 
 
 def _compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -151,19 +154,9 @@ def _compare(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in a link (x, y): the smallest node reachable. Each round a node takes the least
-    label among its neighbours' and then its label's own label, until nothing changes; rounds are written out."""
-    both = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = cut(lower.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("above", "component")).alias("component")))
-        changed = new.where("component < old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+    """(node, component) of every node in a link (x, y): the smallest node reachable."""
+    edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return graph.components(edges.select(F.explode(F.array("a", "b")).alias("node")), edges)
 
 
 def _could_link(nx: Column, ny: Column, i: Column, j: Column, percent: int) -> Column:
@@ -176,12 +169,12 @@ def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(compared, classes): every compared pair with its similarity's numbers, and the classes its links form."""
     tokens = index.where(F.col("tokens").isNotNull()).select("node", "n", "tokens")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent + 0.01)))
-    entries = index.where(F.size("head") > 0).select("node", "n", step.alias("step"), F.explode(F.arrays_zip("head", "place")).alias("e"))
-    entries = entries.select(F.col("e.head").alias("token"), "step", "node", "n", F.col("e.place").alias("place"))
+    entries = index.where(F.size("head") > 0).select("node", "n", "lone", step.alias("step"), F.explode(F.arrays_zip("head", "place")).alias("e"))
+    entries = entries.select(F.col("e.head").alias("token"), "step", "node", "n", "lone", F.col("e.place").alias("place"))
 
     # the smaller set of a pair (the first of equals) meets the other early: past this place it can't share enough
     early = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n")
-    leaders = entries.where(early).groupBy("token", "step").agg(F.min(F.struct("node", "n", "place")).alias("leader"))
+    leaders = entries.where(early).groupBy("token", "step").agg(F.min(F.struct("lone", "node", "n", "place")).alias("leader"))
     near = leaders.select("token", "step", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), "leader")
     starred = entries.join(near.select("token", F.col("at").alias("step"), "leader"), ["token", "step"])
     fits = _could_link(F.col("n"), F.col("leader.n"), F.col("place"), F.col("leader.place"), percent)
