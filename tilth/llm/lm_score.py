@@ -34,9 +34,9 @@ from tilth.llm.common import whole
 
 MASS, POWER = 0.8, 0.8
 ORDER = 3
-SPARE = 24
+SPARE = 18
 #: Bytes of text in a block, which one task holds at a time, and blocks' worth of text a shard.
-BLOCK_BYTES, BLOCKS_A_SHARD = 4 << 20, 2
+BLOCK_BYTES, BLOCKS_A_SHARD = 6 << 20, 2
 #: Tokens of a text that one lane of the walk reads.
 STRETCH = 256
 START, END = (np.array([x], np.uint64) for x in (0x5374617274, 0x456E64))
