@@ -38,7 +38,7 @@ def test_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in after.collect() if r.doc_id is not None) == want
 
     before, after = kept[2]
-    live = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.live) for r in secrets.scan(before).collect()}
+    live = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.live) for r in secrets.scan(before, corpus=table(spark, DATA, "documents")).collect()}
     texts = {r.doc_id: r for r in after.collect()}
     for r in before.collect():
         text, at, out = r.text, 0, ""

@@ -2,7 +2,7 @@
 
 Spark's regular expressions find the matches. A candidate's hash is counted over the whole corpus by distinct
 repositories (the id column) and distinct owners (the owner column): a value that many owners hold is a widely copied
-example, one that few hold looks live. The frequency gives every base match its verdict, and it alone decides whether a
+example, and so is one that stands in many repositories of the few that hold it; the rest look live. The frequency gives every base match its verdict, and it alone decides whether a
 mixed token of no known form (kind "owned") is a secret.
 
 Defined cases: null text is the empty text; null ids and null owners each count as one value. Rows that repeat an id
@@ -24,6 +24,8 @@ KINDS = ["assign", "access", "hex", "owned"]
 TOKEN_LEAST = 24
 #: A value that more owners than this hold is a copied example.
 OWNERS_MOST = 2
+#: And so is one in more repositories an owner than this.
+REPOS_AN_OWNER = 20
 
 FOUND = "array<struct<kind:string,start:int,end:int,value_hash:string>>"
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int,value_hash:string,n_repos:bigint,n_owners:bigint,live:boolean>>"
@@ -70,6 +72,10 @@ def candidates(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source",
     return rows.select("id", "owner", "key", F.concat("base", free).alias("found"))
 
 
+def _live(n_owners: Column, n_repos: Column) -> Column:
+    return (n_owners <= OWNERS_MOST) & (n_repos <= n_owners * REPOS_AN_OWNER)
+
+
 def ownership(exploded: DataFrame) -> DataFrame:
     """Repositories and owners of each value. Rows go to (value, owner, id) first, then counts to (value, owner) and to
     the value, so a value that a third of all rows hold never meets in one task."""
@@ -78,12 +84,23 @@ def ownership(exploded: DataFrame) -> DataFrame:
     return owned.groupBy("value_hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
+def _exploded(found: DataFrame) -> DataFrame:
+    return found.select("id", "owner", "key", F.explode("found").alias("f")).select("id", "owner", "key", "f.*")
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
     """A row a row of df: id_col, `text_key` (xxhash64 of the text) and `spans` by start and kind, each with its value's
-    hash, repositories, owners and whether it looks live."""
+    hash, repositories, owners and whether it looks live.
+
+    corpus: the documents that repositories and owners are counted over, for one that df is what is left of; a value
+    that only df has counts as one of one owner. By default df itself.
+    """
     held = cut(candidates(df, id_col, owner_col, text_col))
-    exploded = held.select("id", "owner", "key", F.explode("found").alias("f")).select("id", "owner", "key", "f.*")
-    judged = exploded.drop("owner").join(ownership(exploded), "value_hash", "left").withColumn("live", F.col("n_owners") <= OWNERS_MOST)
+    exploded = _exploded(held)
+    owned = ownership(exploded if corpus is None else _exploded(candidates(corpus, id_col, owner_col, text_col)))
+    one = lambda c: F.coalesce(F.col(c), F.lit(1).cast("long")).alias(c)
+    judged = exploded.drop("owner").join(owned, "value_hash", "left").select(*[c for c in exploded.columns if c != "owner"], one("n_repos"), one("n_owners"))
+    judged = judged.withColumn("live", _live(F.col("n_owners"), F.col("n_repos")))
     judged = judged.where((F.col("kind") != "owned") | F.col("live"))
     kind_no = F.array_position(F.lit(KINDS), F.col("kind")).cast("int")
     spans = judged.groupBy(F.col("id").alias("span_id"), F.col("key").alias("span_key")).agg(F.array_sort(F.collect_set(F.struct("start", kind_no.alias("kind_no"), "kind", "end", "value_hash", "n_repos", "n_owners", "live"))).alias("spans"))
@@ -91,9 +108,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_
     return rows.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.coalesce("spans", _none(SPANS)).alias("spans"))
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df, all rows and columns, with each live span of the text replaced by the mark; null text stays null."""
-    found = scan(df, id_col, owner_col, text_col).select(F.col(id_col).alias("found_id"), F.col("text_key").alias("found_key"), F.filter("spans", lambda s: s["live"]).alias("live"))
+def redact(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", mark: str = "[SECRET]", corpus: DataFrame | None = None) -> DataFrame:
+    """df, all rows and columns, with each live span of the text replaced by the mark; null text stays null. corpus: as
+    for scan."""
+    found = scan(df, id_col, owner_col, text_col, corpus).select(F.col(id_col).alias("found_id"), F.col("text_key").alias("found_key"), F.filter("spans", lambda s: s["live"]).alias("live"))
     found = found.where(F.size("live") > 0).dropDuplicates(["found_id", "found_key"])
     rows = boxed(df, id=F.col(id_col), key=F.xxhash64(whole(F.col(text_col))))
     joined = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
@@ -111,9 +129,11 @@ def redact(df: DataFrame, id_col: str = "doc_id", owner_col: str = "source", tex
 
 
 def report(df: DataFrame) -> DataFrame:
-    """A row a document: counts by base kind, the digest of the base spans, all spans, and how many look live."""
+    """A row a document: counts by base kind, the digest of the base spans, all spans, how many look live, and the most
+    repositories and owners of a value in it (0 without any)."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    most = lambda c: F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0).cast("long"))
     base = F.filter("spans", lambda s: s["kind"] != "owned")
     return scan(df).select(
         "doc_id",
@@ -121,6 +141,8 @@ def report(df: DataFrame) -> DataFrame:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        most("n_repos").alias("most_repos"),
+        most("n_owners").alias("most_owners"),
     )
 
 
@@ -148,15 +170,15 @@ more AS (
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = v.r AND b.s < v.e AND v.s < b.e)
 ),
 f AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-o AS (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS owners FROM f GROUP BY value),
-j AS (SELECT f.*, o.owners <= {OWNERS_MOST} AS live, list_position({KINDS!r}, kind) AS k FROM f JOIN o USING (value) WHERE kind <> 'owned' OR o.owners <= {OWNERS_MOST}),
+o AS (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS owners, count(DISTINCT (coalesce('x' || source, ''), coalesce('x' || doc_id, ''))) AS repos FROM f GROUP BY value),
+j AS (SELECT * FROM (SELECT f.*, owners, repos, owners <= {OWNERS_MOST} AND repos <= owners * {REPOS_AN_OWNER} AS live, list_position({KINDS!r}, kind) AS k FROM f JOIN o USING (value)) WHERE kind <> 'owned' OR live),
 g AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind <> 'owned'), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, count(*) FILTER (live) AS n_live
+         coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind <> 'owned'), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, count(*) FILTER (live) AS n_live, max(repos) AS most_repos, max(owners) AS most_owners
   FROM j GROUP BY r
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(most_repos, 0) AS most_repos, coalesce(most_owners, 0) AS most_owners
 FROM d LEFT JOIN g USING (r)
 """
 
