@@ -103,6 +103,17 @@ def test_whittaker_reproduces_lines_and_fills():
     assert np.isnan(kernels.upper_envelope(np.array([1.0, 2, np.nan]), np.array([1.0, 1, 0]))).all()
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_banded_solve_is_the_dense_one(order):
+    rng = np.random.default_rng(order)
+    for n in (order + 2, order + 3, 40):
+        y, w = rng.random(n), (rng.random(n) < 0.8).astype(float) + 1e-3
+        d = np.diff(np.eye(n), order, axis=0)
+        want = np.linalg.solve(np.diag(w) + 5.0 * d.T @ d, w * y)
+        assert np.allclose(kernels.whittaker(y, w, 5.0, order), want)
+    assert (kernels.whittaker(np.array([np.nan, 4.0, np.nan, np.nan, np.nan]), np.array([0, 1.0, 0, 0, 0])) == 4).all()
+
+
 def test_cycles_of_one_and_two_seasons():
     hump = 0.12 + 0.6 * np.sin(np.linspace(0, np.pi, 14)) ** 2
     flat = np.full(8, 0.12)

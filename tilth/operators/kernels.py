@@ -9,17 +9,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def solve_banded(bands: list[np.ndarray], rhs: np.ndarray) -> np.ndarray:
+    """x of A x = rhs for a symmetric positive matrix with A[i, i - k] = bands[k][i]: by its square-root-free Cholesky
+    factors, in time in proportion to the length."""
+    n, width = len(rhs), len(bands) - 1
+    low, d, x = np.zeros((n, width + 1)), np.zeros(n), np.asarray(rhs, float).copy()
+    for i in range(n):
+        for k in range(min(width, i), 0, -1):
+            j = i - k
+            part = sum(low[i, i - t] * d[t] * low[j, j - t] for t in range(max(0, i - width), j))
+            low[i, k] = (bands[k][i] - part) / d[j]
+        d[i] = bands[0][i] - sum(low[i, k] ** 2 * d[i - k] for k in range(1, min(width, i) + 1))
+        x[i] -= sum(low[i, k] * x[i - k] for k in range(1, min(width, i) + 1))
+    x /= d
+    for i in range(n - 1, -1, -1):
+        x[i] -= sum(low[i + k, k] * x[i + k] for k in range(1, min(width, n - 1 - i) + 1))
+    return x
+
+
+def _penalty(n: int, order: int) -> list[np.ndarray]:
+    """The bands of D'D, D being the differences of the order."""
+    row = np.array([1.0])
+    for _ in range(order):
+        row = np.convolve(row, [-1.0, 1.0])
+    bands = [np.zeros(n) for _ in range(order + 1)]
+    for start in range(n - order):
+        for k in range(order + 1):
+            bands[k][start + k : start + order + 1] += row[k:] * row[: order + 1 - k]
+    return bands
+
+
 def whittaker(y: np.ndarray, weight: np.ndarray, smooth: float = 8.0, order: int = 2) -> np.ndarray:
-    """Penalised least squares on differences of the order; values of no weight are filled. With too few values their mean,
-    with none zeros."""
+    """Penalised least squares on differences of the order; values of no weight are filled. With fewer values than the
+    order, or too short a series, their mean; with none zeros."""
     y, weight = np.nan_to_num(np.asarray(y, float)), np.asarray(weight, float)
     n = len(y)
     if not (weight > 0).any():
         return np.zeros(n)
-    if n <= order + 1:
+    if n <= order + 1 or (weight > 0).sum() < order:
         return np.full(n, np.average(y, weights=weight))
-    d = np.diff(np.eye(n), order, axis=0)
-    return np.linalg.solve(np.diag(weight) + smooth * d.T @ d, weight * y)
+    bands = [smooth * b for b in _penalty(n, order)]
+    bands[0] = bands[0] + weight
+    return solve_banded(bands, weight * y)
 
 
 def upper_envelope(y: np.ndarray, weight: np.ndarray, smooth: float = 8.0, passes: int = 2, below: float = 0.35) -> np.ndarray:

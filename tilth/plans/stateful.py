@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tilth.functions.agronomy import haversine
 from tilth.operators import graph, kernels, matching
 from tilth.plans.base import query, table
-from tilth.plans.observed import best
+from tilth.plans.observed import GRID, best
 from tilth.plans.relations import _KM, _POINTS, _points
 from tilth.streaming import jobs
 
@@ -42,16 +42,65 @@ def rate_limit(spark, sf_dir):
     return n.groupBy("user_id").agg(F.max("n").alias("most"), F.count_if(F.col("n") >= 4).alias("limited"))
 
 
-@query()
-def whittaker_smoothing(spark, sf_dir):
-    return kernels.smoothed(best(spark, sf_dir), ["parcel_id"], "bin", "signal")
+def _solve(name: str, rows: str, smooth: float) -> str:
+    """CTEs that solve the penalised system of each parcel of `rows` (parcel_id, i, n, y, w): its factors down the series,
+    the solution back up, two earlier values carried along."""
+    return f"""
+{name}_a AS (
+  SELECT parcel_id, i, n, w * coalesce(y, 0) AS b, w + {smooth} * CASE WHEN i IN (0, n - 1) THEN 1 WHEN i IN (1, n - 2) THEN 5 ELSE 6 END AS a0,
+    {smooth} * CASE WHEN i = 1 OR i = n - 1 THEN -2 ELSE -4 END AS a1 FROM {rows} WHERE n > 3 AND seen >= 2),
+{name}_f AS (
+  SELECT parcel_id, i, n, CAST(a0 AS DOUBLE) AS d, CAST(b AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS l1, CAST(0 AS DOUBLE) AS l2, CAST(1 AS DOUBLE) AS d_1, CAST(0 AS DOUBLE) AS z_1 FROM {name}_a WHERE i = 0
+  UNION ALL SELECT parcel_id, i, n, a0 - m1 * m1 * d - m2 * m2 * d_1, b - m1 * z - m2 * z_1, m1, m2, d, z FROM (
+    SELECT a.parcel_id, a.i, a.n, a0, b, f.d, f.z, f.d_1, f.z_1, CASE WHEN a.i >= 2 THEN {smooth} / f.d_1 ELSE 0 END AS m2, (a1 - CASE WHEN a.i >= 2 THEN {smooth} * f.l1 ELSE 0 END) / f.d AS m1
+    FROM {name}_f f JOIN {name}_a a ON a.parcel_id = f.parcel_id AND a.i = f.i + 1)),
+{name}_x AS (
+  SELECT parcel_id, i, z / d AS x, CAST(0 AS DOUBLE) AS x1, l1, l2, CAST(0 AS DOUBLE) AS l2_1 FROM {name}_f WHERE i = n - 1
+  UNION ALL SELECT f.parcel_id, f.i, f.z / f.d - x.l1 * x.x - x.l2_1 * x.x1, x.x, f.l1, f.l2, x.l2 FROM {name}_x x JOIN {name}_f f ON f.parcel_id = x.parcel_id AND f.i = x.i - 1),
+{name} AS (
+  SELECT r.parcel_id, r.i, CASE WHEN x.x IS NOT NULL THEN x.x WHEN seen = 0 THEN 0 ELSE sum(w * coalesce(y, 0)) OVER p / sum(w) OVER p END AS curve
+  FROM {rows} r LEFT JOIN {name}_x x ON x.parcel_id = r.parcel_id AND x.i = r.i WINDOW p AS (PARTITION BY r.parcel_id))"""
 
 
-@query()
-def envelope_smoothing(spark, sf_dir):
-    return kernels.smoothed(best(spark, sf_dir), ["parcel_id"], "bin", "signal", 40.0, envelope=True)
+def _reweighed(name: str, curve: str) -> str:
+    return f"""
+{name} AS (SELECT r.parcel_id, r.i, n, y, seen, w0, w0 * CASE WHEN coalesce(y, 0) < curve THEN 0.35 ELSE 1 END AS w FROM base r JOIN {curve} c ON c.parcel_id = r.parcel_id AND c.i = r.i)"""
+
+
+_BASE = f"""WITH RECURSIVE {GRID},
+base AS (
+  SELECT parcel_id, bin AS i, count(*) OVER p AS n, signal AS y, CASE WHEN signal IS NULL THEN 0.0 ELSE 1.0 END AS w, CASE WHEN signal IS NULL THEN 0.0 ELSE 1.0 END AS w0, count(signal) OVER p AS seen
+  FROM best WINDOW p AS (PARTITION BY parcel_id)),"""
 
 
-@query()
+@query(f"""{_BASE}{_solve('s', 'base', 8.0)} SELECT b.parcel_id, CAST(b.i AS INTEGER) AS bin, round(y, 9) AS signal, round(curve, 7) AS smoothed FROM base b JOIN s ON s.parcel_id = b.parcel_id AND s.i = b.i""")
+def whittaker_smoothing(spark, sf_dir):
+    out = kernels.smoothed(best(spark, sf_dir), ["parcel_id"], "bin", "signal")
+    return out.select("parcel_id", "bin", F.round("signal", 9).alias("signal"), F.round("smoothed", 7).alias("smoothed"))
+
+
+@query(f"""{_BASE}{_solve('s', 'base', 40.0)},{_reweighed('once', 's')},{_solve('t', 'once', 40.0)},{_reweighed('twice', 't')},{_solve('u', 'twice', 40.0)}
+SELECT b.parcel_id, CAST(b.i AS INTEGER) AS bin, round(y, 9) AS signal, CASE WHEN seen >= 3 THEN round(curve, 7) END AS smoothed FROM base b JOIN u ON u.parcel_id = b.parcel_id AND u.i = b.i""")
+def envelope_smoothing(spark, sf_dir):
+    out = kernels.smoothed(best(spark, sf_dir), ["parcel_id"], "bin", "signal", 40.0, envelope=True)
+    return out.select("parcel_id", "bin", F.round("signal", 9).alias("signal"), F.round(F.when(~F.isnan("smoothed"), F.col("smoothed")), 7).alias("smoothed"))
+
+
+@query(f"""{_BASE}{_solve('s', 'base', 1.0)},
+v AS (SELECT parcel_id, i, curve, lag(curve) OVER w AS before, lead(curve) OVER w AS after, max(i) OVER (PARTITION BY parcel_id) AS last FROM s WINDOW w AS (PARTITION BY parcel_id ORDER BY i)),
+top AS (SELECT parcel_id, i, curve, last, row_number() OVER (PARTITION BY parcel_id ORDER BY i) AS k FROM v WHERE curve >= 0.3 AND (before IS NULL OR curve >= before) AND (after IS NULL OR curve > after)),
+valley AS (SELECT a.parcel_id, a.i AS a, b.i AS b, min(v.curve) AS low FROM top a JOIN top b ON a.parcel_id = b.parcel_id AND a.i < b.i JOIN v ON v.parcel_id = a.parcel_id AND v.i BETWEEN a.i AND b.i GROUP BY 1, 2, 3),
+fold AS (
+  SELECT parcel_id, k, i AS held, curve AS height, CAST(NULL AS INTEGER) AS done FROM top WHERE k = 1
+  UNION ALL SELECT t.parcel_id, t.k, CASE WHEN apart OR t.curve > height THEN t.i ELSE held END, CASE WHEN apart OR t.curve > height THEN t.curve ELSE height END, CASE WHEN apart THEN CAST(held AS INTEGER) END
+    FROM (SELECT f.*, t.i AS next_i, least(f.height, t.curve) - low >= 0.1 AS apart FROM fold f JOIN top t ON t.parcel_id = f.parcel_id AND t.k = f.k + 1 JOIN valley y ON y.parcel_id = f.parcel_id AND y.a = f.held AND y.b = t.i) f
+    JOIN top t ON t.parcel_id = f.parcel_id AND t.i = f.next_i),
+kept AS (SELECT parcel_id, done AS i FROM fold WHERE done IS NOT NULL UNION ALL SELECT parcel_id, arg_max(held, k) FROM fold GROUP BY 1),
+span AS (SELECT k.parcel_id, k.i, coalesce(lag(k.i) OVER w, 0) AS low, coalesce(lead(k.i) OVER w, last) AS high, t.curve FROM kept k JOIN top t ON t.parcel_id = k.parcel_id AND t.i = k.i WINDOW w AS (PARTITION BY k.parcel_id ORDER BY k.i)),
+edge AS (
+  SELECT p.parcel_id, p.i, p.curve, arg_min(v.i, (v.curve, v.i)) FILTER (v.i <= p.i) AS a, arg_min(v.i, (v.curve, v.i)) FILTER (v.i >= p.i) AS b, min(v.curve) AS least FROM span p JOIN v ON v.parcel_id = p.parcel_id AND v.i BETWEEN p.low AND p.high GROUP BY 1, 2, 3)
+SELECT parcel_id, CAST(row_number() OVER (PARTITION BY parcel_id ORDER BY i) - 1 AS INTEGER) AS cycle, CAST(a AS INTEGER) AS start, CAST(i AS INTEGER) AS peak, CAST(b AS INTEGER) AS "end", round(curve, 7) AS peak_value FROM edge WHERE curve - least >= 0.1 AND b - a >= 3""")
 def detected_cycles(spark, sf_dir):
-    return kernels.cycles(best(spark, sf_dir), ["parcel_id"], "bin", "signal")
+    """Humps of the lightly smoothed series between their valleys."""
+    found = kernels.cycles(best(spark, sf_dir), ["parcel_id"], "bin", "signal")
+    return found.withColumn("peak_value", F.round("peak_value", 7))
