@@ -539,6 +539,11 @@ def test_ngram_jaccard(spark, docs, none):
     for block in (3000, 1 << 20):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.classes(df, block_bytes=block).collect()}
         assert got == want
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w := words(t)) >= 5 else {tuple(w)} - {()} for i, t in rows}
+    first = {frozenset([t]): i for i, t in reversed(rows)}
+    ids = sorted(first[frozenset([t])] for t in {t for _, t in rows})
+    pairs = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in ids for b in ids if a < b and sets[a] & sets[b]}
+    assert {tuple(r) for r in ngram_jaccard.linked_pairs(df, block_bytes=3000).collect()} == {p for p in pairs if 100 * p[2] >= 75 * p[3]}
     kept = ngram_jaccard.firsts(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (n, c) in want.items() if i == c)

@@ -165,28 +165,41 @@ def _could_link(nx: Column, ny: Column, i: Column, j: Column, percent: int) -> C
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (F.least(nx - i, ny - j) >= least)
 
 
-def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(compared, classes): every compared pair with its similarity's numbers, and the classes its links form."""
-    tokens = index.where(F.col("tokens").isNotNull()).select("node", "n", "tokens")
+def _tokens(index: DataFrame) -> DataFrame:
+    return index.where(F.col("tokens").isNotNull()).select("node", "n", "tokens")
+
+
+def _entries(index: DataFrame, percent: int) -> DataFrame:
+    """A row a shingle of a prefix: token, step of the set's size, node, n, lone and place. Sets that link are at most one
+    step apart."""
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent + 0.01)))
-    entries = index.where(F.size("head") > 0).select("node", "n", "lone", step.alias("step"), F.explode(F.arrays_zip("head", "place")).alias("e"))
-    entries = entries.select(F.col("e.head").alias("token"), "step", "node", "n", "lone", F.col("e.place").alias("place"))
+    each = index.where(F.size("head") > 0).select("node", "n", "lone", step.alias("step"), F.explode(F.arrays_zip("head", "place")).alias("e"))
+    return each.select(F.col("e.head").alias("token"), "step", "node", "n", "lone", F.col("e.place").alias("place"))
+
+
+def _early(percent: int) -> Column:
+    """The smaller set of a pair (the first of equals) meets the other early: past this place it can't share enough."""
+    return (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n")
+
+
+def _judged(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """pairs (x, y) with shared, union and whether they link."""
+    sizes = tokens.select("node", "n")
+    with_n = _compare(pairs, tokens).join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
+    union = F.col("nx") + F.col("ny") - F.col("shared")
+    return cut(with_n.select("x", "y", "shared", union.alias("union"), (F.col("shared") * 100 >= union * percent).alias("linked")))
 
-    # the smaller set of a pair (the first of equals) meets the other early: past this place it can't share enough
-    early = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n")
+
+def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(compared, classes): every compared pair with its similarity's numbers, and the classes its links form."""
+    tokens = _tokens(index)
+    entries, early = _entries(index, percent), _early(percent)
     leaders = entries.where(early).groupBy("token", "step").agg(F.min(F.struct("lone", "node", "n", "place")).alias("leader"))
     near = leaders.select("token", "step", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("at"), "leader")
     starred = entries.join(near.select("token", F.col("at").alias("step"), "leader"), ["token", "step"])
     fits = _could_link(F.col("n"), F.col("leader.n"), F.col("place"), F.col("leader.place"), percent)
     pairs = starred.where((F.col("node") != F.col("leader.node")) & fits).select(F.least("node", "leader.node").alias("x"), F.greatest("node", "leader.node").alias("y")).distinct()
-    sizes = tokens.select("node", "n")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        with_n = _compare(pairs, tokens).join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
-        union = F.col("nx") + F.col("ny") - F.col("shared")
-        return cut(with_n.select("x", "y", "shared", union.alias("union"), (F.col("shared") * 100 >= union * percent).alias("linked")))
-
-    first = judged(pairs)
+    first = _judged(pairs, tokens, percent)
     classes = components(first.where("linked"))
 
     # lists whose members are still in different classes: blocks of (shingle, size step, class) meet first, and of the
@@ -210,7 +223,7 @@ def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ruled_out = (F.col("step") == F.col("step_y")) & (F.abs(F.col("far") - F.col("far_y")) > 1 - percent / 100 + 1e-9)
     rest = crossed.where(_could_link(F.col("n"), F.col("n_y"), F.col("place"), F.col("place_y"), percent) & ~F.coalesce(ruled_out, F.lit(False)))
     rest = rest.select(F.least("node", "node_y").alias("x"), F.greatest("node", "node_y").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
-    second = judged(rest)
+    second = _judged(rest, tokens, percent)
     compared = first.unionByName(second)
     more = second.where("linked").limit(1).count()
     return compared, components(compared.where("linked")) if more else classes
@@ -218,12 +231,7 @@ def links(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def _classes(df: DataFrame, ids: Column, text: Column, percent: int, size: int, block_bytes: int) -> DataFrame:
     """A row a row of df: id, key_1 of the text, n and component. ids: a number for each document."""
-    keyed = df.select(ids.alias("id"), F.xxhash64(text).alias("key_1"), F.xxhash64(F.lit("second"), text).alias("key_2"), text.alias("text"))
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_blocks(total, block_bytes))).cast("int").alias("block")
-    keyed = keyed.select("*", place("id"))
-    first = cut(keyed.groupBy("key_1", "key_2").agg(F.min("id").alias("node")).select("*", place("node")))
-    index = cut(nodes_and_index(keyed, first, percent, size, total, block_bytes))
+    keyed, first, index = _indexed(df, ids, text, percent, size, block_bytes)
     _, found = links(index, percent)
     of_node = index.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     of_key = first.join(of_node, "node").select("key_1", "key_2", "n", "component")
@@ -231,6 +239,16 @@ def _classes(df: DataFrame, ids: Column, text: Column, percent: int, size: int,
     return out.select("id", "key_1", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
+def _indexed(df: DataFrame, ids: Column, text: Column, percent: int, size: int, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with id and keys of the text, the document that stands for each text, the index)."""
+    keyed = df.select(ids.alias("id"), F.xxhash64(text).alias("key_1"), F.xxhash64(F.lit("second"), text).alias("key_2"), text.alias("text"))
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_blocks(total, block_bytes))).cast("int").alias("block")
+    keyed = keyed.select("*", place("id"))
+    first = cut(keyed.groupBy("key_1", "key_2").agg(F.min("id").alias("node")).select("*", place("node")))
+    return keyed, first, cut(nodes_and_index(keyed, first, percent, size, total, block_bytes))
+
+
 def _of_text(text: Column) -> Column:
     """A number for a text, above all ids."""
     return F.lit(NULL_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
@@ -244,6 +262,22 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     return found.select(given("id").alias(id_col), F.col("n").alias("n_shingles"), given("component").alias("component_id"))
 
 
+def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every link between different texts: (x, y, shared, union), x and y being the smallest ids of the two texts, x < y.
+
+    What links() leaves out, pairs within a class, is compared here too, so this costs what its pairs are: a group of
+    near copies gives the square of its size. Rows without an id stand under their text's number.
+    """
+    text = whole(F.col(text_col))
+    _, _, index = _indexed(df, F.coalesce(F.col(id_col).cast("long"), _of_text(text)), text, percent, size, block_bytes)
+    entries = cut(_entries(index, percent))
+    right = entries.where(_early(percent)).select("token", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "place")])
+    larger = (F.col("n") > F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("node") > F.col("node_y")))
+    met = entries.join(right, ["token", "step"]).where(larger & _could_link(F.col("n"), F.col("n_y"), F.col("place"), F.col("place_y"), percent))
+    pairs = met.select(F.least("node", "node_y").alias("x"), F.greatest("node", "node_y").alias("y")).distinct()
+    return _judged(pairs, _tokens(index), percent).where("linked").drop("linked")
+
+
 def firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df with one row of each class of texts, all columns: the one of the smallest id, rows without an id last, then of
     the smallest hash. Here every text is a document of its own, also where texts share an id, so none goes that is no
