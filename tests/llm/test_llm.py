@@ -124,7 +124,8 @@ def test_lm_states_add_up():
     """Of every state that a text visits, the probabilities of all words add up to 1."""
     texts = ["a b a c a b", "b a a d", "c"]
     read = lm_score.Reading(texts, 3)
-    count = read.counts(np.array([True, True, True]))
+    keys, count = lm_score.Reading(texts, 3, places=False).counted(np.array([True, True, True]))
+    assert (keys == read.keys).all()
     words_of = np.unique(read.at[0])
     n, v = int(count[words_of].sum()), len(words_of)
     automaton = lm_score.Automaton(read, count, n, v)

@@ -43,9 +43,10 @@ START, END = (np.array([x], np.uint64) for x in (0x5374617274, 0x456E64))
 
 
 class Reading:
-    """The tokens of some texts, and the distinct n-grams that end at each."""
+    """The tokens of some texts, and the distinct n-grams that end at each (`at`, by level; not of use to who only
+    counts, and left out for them)."""
 
-    def __init__(self, texts: list[str | None], order: int, bits: int = 64) -> None:
+    def __init__(self, texts: list[str | None], order: int, bits: int = 64, places: bool = True) -> None:
         words, counts = grams.word_hashes(texts)
         self.first = np.concatenate([[0], np.cumsum(counts + 1)])[:-1].astype(np.int64)
         self.size = counts + 1
@@ -72,6 +73,10 @@ class Reading:
             # the start state is one word before the first
             every[(level - 1) * n : level * n] = np.where(self.seen(level), (grams.joined(before) >> shift) & ~one, np.uint64(0))
         del before, tokens
+        self.order = order
+        if not places:
+            self.every = every
+            return
         self.keys, at = np.unique(every, return_inverse=True)
         del every
         at = at.astype(np.int32)
@@ -82,13 +87,14 @@ class Reading:
         """Whether so many words, with the start as one, end at each token."""
         return self.place >= level - 2
 
-    def counts(self, learnt: np.ndarray) -> np.ndarray:
-        """How often each key ends at a token of a learnt text."""
+    def counted(self, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys, and how often each ends at a token of a learnt text."""
         weight = np.repeat(learnt, self.size)
-        out = np.zeros(len(self.keys), np.int64)
-        for level, at in enumerate(self.at, 1):
-            out += np.bincount(at[weight & self.seen(level)], minlength=len(out))
-        return out
+        taught = np.concatenate([weight & self.seen(level) for level in range(1, self.order + 1)] + [[False]])
+        known, every = np.sort(self.every[taught]), np.sort(self.every)
+        keys = every[np.concatenate([[True], every[1:] != every[:-1]])]
+        starts = np.searchsorted(known, keys)  # both sorted, so this walks along them
+        return keys, np.diff(np.append(starts, len(known)))
 
 
 class Automaton:
@@ -114,9 +120,9 @@ class Automaton:
         for level in range(2, order + 1):
             own, shorter = read.at[level - 1], read.at[level - 2]
             ends = np.flatnonzero(read.seen(level))
-            _, once = np.unique(own[ends], return_index=True)
-            ends = ends[once]
-            ends = ends[count[own[ends]] > 0]
+            first = np.full(size, -1, np.int64)  # one place of each n-gram
+            first[own[ends]] = ends
+            ends = first[(first >= 0) & (count > 0)]
             key, suffix = own[ends], shorter[ends]
             state = shorter[ends - 1] if level > 2 else np.where(read.place[ends] > 0, shorter[ends - 1], start)
             p = (count[key] + kept[state] * below[suffix]) / (held[state] + kept[state])
@@ -149,7 +155,9 @@ class Automaton:
             if not len(lanes):
                 break
             wanted = state * self.width + word[lanes]
-            place = np.searchsorted(self.arcs, wanted)
+            by = np.argsort(wanted)  # so that the search walks along the arcs
+            place = np.empty(len(lanes), np.int64)
+            place[by] = np.searchsorted(self.arcs, wanted[by])
             place[place == len(self.arcs)] = 0
             hit = self.arcs[place] == wanted if len(self.arcs) else np.zeros(len(lanes), bool)
             done = lanes[hit]
@@ -206,15 +214,15 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     rows = grams.dealt(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), "block", blocks)
 
     def gather(docs: pa.Table) -> pa.Table:
-        read = Reading(docs.column("text").to_pylist(), order, bits)
-        counts = read.counts(docs.column("learnt").to_numpy(zero_copy_only=False).astype(bool))
-        parts = {s: (a, b) for s, a, b in grams.shards_of(read.keys, shards, bits)}
+        read = Reading(docs.column("text").to_pylist(), order, bits, places=False)
+        keys, counts = read.counted(docs.column("learnt").to_numpy(zero_copy_only=False).astype(bool))
+        parts = {s: (a, b) for s, a, b in grams.shards_of(keys, shards, bits)}
         spans = [parts.get(s, (0, 0)) for s in range(shards)]  # every shard hears of every block, to answer with its totals
         return pa.table(
             {
                 "shard": pa.array(range(shards), pa.int32()),
                 "block": pa.array([docs.column("block")[0].as_py()] * shards, pa.int32()),
-                "keys": pa.array([grams.pack(read.keys[a:b]) for a, b in spans], pa.binary()),
+                "keys": pa.array([grams.pack(keys[a:b]) for a, b in spans], pa.binary()),
                 "counts": pa.array([grams.pack_counts(counts[a:b]) for a, b in spans], pa.binary()),
             }
         )
