@@ -164,6 +164,12 @@ FROM rec r LEFT JOIN near n ON n.record_id = r.record_id AND k = 1""")
 def client_match(spark, sf_dir):
     """Each record's nearest cycle in time, on its field by id, or at its place where it names none. The join is on the
     field and on bands of 20 days, so a record meets only cycles near it in time."""
+    m = _matches(spark, sf_dir)
+    matched = F.when(F.col("b").isNull(), "unmatched").when(F.col("field_id").isNotNull(), "by_id").otherwise("by_place")
+    return m.select("record_id", F.col("b.cycle_id").alias("cycle_id"), matched.alias("matched"), F.datediff("b.ours", "sown").alias("sowing_error"), (F.col("b.found") == F.col("crop")).alias("same_crop"))
+
+
+def _matches(spark, sf_dir) -> DataFrame:
     r = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("record_id"),
         F.when(F.col("o_orderstatus") != "O", F.col("o_custkey") % 100 + 1).alias("field_id"),
@@ -177,8 +183,7 @@ def client_match(spark, sf_dir):
     c = cycles(spark, sf_dir).select("parcel_id", "cycle_id", (F.col("crop_id") % 12).alias("found"), F.col("sown").alias("ours"), band("sown").alias("band"))
     met = asked.join(c, ["parcel_id", "band"]).where(F.abs(F.datediff("ours", "sown")) <= 20)
     best = met.groupBy("record_id").agg(F.min_by(F.struct("cycle_id", "found", "ours"), F.struct(F.abs(F.datediff("ours", "sown")), F.col("cycle_id"))).alias("b"))
-    matched = F.when(F.col("b").isNull(), "unmatched").when(F.col("field_id").isNotNull(), "by_id").otherwise("by_place")
-    return r.join(best, "record_id", "left").select("record_id", F.col("b.cycle_id").alias("cycle_id"), matched.alias("matched"), F.datediff("b.ours", "sown").alias("sowing_error"), (F.col("b.found") == F.col("crop")).alias("same_crop"))
+    return r.join(best, "record_id", "left")
 
 
 @query(f"""WITH {_CLIENT}, j AS (SELECT r.record_id, r.sown, crop, ours, found FROM rec r JOIN near n ON n.record_id = r.record_id AND k = 1), d AS (
@@ -187,9 +192,7 @@ def client_match(spark, sf_dir):
 SELECT record_id, x.field AS field, x.theirs AS theirs, x.ours AS ours FROM d""")
 def disagreement_log(spark, sf_dir):
     """A row a field of a matched record on which client and map differ."""
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").cast("date").alias("sown"), (F.col("o_custkey") % 12).alias("crop"))
-    c = cycles(spark, sf_dir).select("cycle_id", (F.col("crop_id") % 12).alias("found"))
-    j = client_match(spark, sf_dir).where("cycle_id IS NOT NULL").join(r, "record_id").join(c, "cycle_id").withColumn("ours", F.date_add("sown", F.col("sowing_error")))
+    j = _matches(spark, sf_dir).where("b IS NOT NULL").select("record_id", "sown", "crop", "b.found", "b.ours", F.datediff("b.ours", "sown").alias("sowing_error"))
     entry = lambda name, a, b: F.struct(F.lit(name).alias("field"), F.col(a).cast("string").alias("theirs"), F.col(b).cast("string").alias("ours"))
     found = F.array_compact(F.array(F.when(F.abs("sowing_error") > 7, entry("sowing_date", "sown", "ours")), F.when(F.col("found") != F.col("crop"), entry("crop", "crop", "found"))))
     return j.select("record_id", F.explode(found).alias("x")).select("record_id", "x.*")
