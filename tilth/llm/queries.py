@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import byte_bpe, fingerprint, lm_score, media, mixture, ngram_jaccard, pii, secrets, token_counts, toxicity
+from tilth.llm import byte_bpe, fingerprint, langid, lexical, lm_score, media, mixture, ngram_jaccard, pii, secrets, spelling, token_counts, toxicity
 from tilth.llm.common import cut, table
 
 #: A stand-in for the secret that a deployment brings; fixed, so that the query's rows can be compared.
@@ -61,6 +61,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_score": op1_lm_score,
     "op2_secrets": op2_secrets,
@@ -72,8 +84,13 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_language": op11_language,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling": op13_spelling,
 }
 SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
     "op10_ngram_jaccard": ngram_jaccard.SQL,
+    "op12_lexical_search": lexical.SQL,
+    "op13_spelling": spelling.SQL,
 }
