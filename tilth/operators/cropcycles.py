@@ -99,12 +99,14 @@ def snapped(looks: DataFrame, rules: Rules, values: tuple[str, ...] = ("ndvi", "
     return every.join(binned, ["parcel_id", "bin"], "left")
 
 
-def _before(value: Column, by: Window) -> Column:
-    return F.last(value, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+def _before(value: Column) -> Column:
+    """The last value before the bin."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy("parcel_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _after(value: Column, by: Window) -> Column:
-    return F.first(value, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+def _after(value: Column) -> Column:
+    """The first value after it; in falling order, since a frame that only ends with the partition is read anew for each row."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy("parcel_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
 
 
 def with_edges(grid: DataFrame, value: str, empty: float) -> DataFrame:
@@ -124,9 +126,8 @@ def with_edges(grid: DataFrame, value: str, empty: float) -> DataFrame:
 
 def _run(value: str) -> tuple[Column, Column, Column, Column]:
     """Of an empty bin: the values on either side of its run, the run's length, and the bin's place in it from 1."""
-    by = Window.partitionBy("parcel_id").orderBy("bin")
     side = F.when(F.col(value).isNotNull(), F.struct("bin", F.col(value).alias("y")))
-    a, b = _before(side, by), _after(side, by)
+    a, b = _before(side), _after(side)
     return a["y"], b["y"], b["bin"] - a["bin"] - 1, F.col("bin") - a["bin"]
 
 
@@ -145,7 +146,7 @@ def fill_long(grid: DataFrame, value: str, rules: Rules, reference: str | None =
     falls = (F.size(near) >= 3) & ((F.element_at(near, -1) + F.element_at(near, -2)) / 2 < (F.get(near, 0) + F.get(near, 1)) / 2 - rules.decline)
     marked = grid.withColumn("__falls", F.when(F.col(value).isNotNull(), falls))
     y0, y1, n, k = _run(value)
-    marked = marked.withColumns({"__y0": y0, "__y1": y1, "__n": n, "__x": k / (n + 1), "__k": k, "__hat": _after(F.col("__falls"), by)})
+    marked = marked.withColumns({"__y0": y0, "__y1": y1, "__n": n, "__x": k / (n + 1), "__k": k, "__hat": _after(F.col("__falls"))})
     y0, y1, x = F.col("__y0"), F.col("__y1"), F.col("__x")
     base = F.greatest(y0, y1, F.lit(0.18))
     top = F.least(F.lit(0.82), base + F.least(F.lit(0.22), 0.35 * F.greatest(F.lit(0.0), 0.55 - F.least(y0, y1))))

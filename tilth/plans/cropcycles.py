@@ -251,8 +251,8 @@ row2 AS (
 
 
 @query(f"""WITH RECURSIVE {REGULAR},{ARRAYS},{_pass(BASE)},{_pass(ADAPTIVE)},{_pass(DENSITY)},{_pass(NDVI)},{PERENNIAL},{CHOSEN},{DESCRIBED}
-SELECT parcel_id, number, pass, CASE WHEN stays THEN 'perennial' ELSE 'annual' END AS kind, sown, peaked, harvested, days, round(peak_ndvi, 8) AS peak_ndvi, round(ndvi_rise, 8) AS ndvi_rise, round(ndvi_days, 6) AS ndvi_days, round(peak_evi, 8) AS peak_evi, round(peak_ndmi, 8) AS peak_ndmi, round(peak_cvi, 8) AS peak_cvi,
-  gap_days, peak_seen, round(seen_share, 8) AS seen_share, round(least(100, greatest(10, points)), 6) AS confidence,
+SELECT parcel_id, number, pass, CASE WHEN stays THEN 'perennial' ELSE 'annual' END AS kind, sown, peaked, harvested, days, round(peak_ndvi, 9) AS peak_ndvi, round(ndvi_rise, 9) AS ndvi_rise, round(ndvi_days, 7) AS ndvi_days, round(peak_evi, 9) AS peak_evi, round(peak_ndmi, 9) AS peak_ndmi, round(peak_cvi, 9) AS peak_cvi,
+  gap_days, peak_seen, round(seen_share, 9) AS seen_share, round(least(100, greatest(10, points)), 7) AS confidence,
   CASE WHEN stays THEN 'PERENNIAL' WHEN days < 90 AND peak_ndvi > 0.55 THEN 'SHORT_HIGH_VIGOR' WHEN days < 90 THEN 'SHORT_MODERATE' WHEN days >= 180 THEN 'LONG_DURATION' WHEN peak_cvi > 0.6 THEN 'MEDIUM_HIGH_VIGOR' WHEN peak_cvi > 0.45 THEN 'MEDIUM_MODERATE' ELSE 'MEDIUM_LOW_VIGOR' END AS crop_type,
   CASE WHEN stays THEN 'perennial' WHEN clear THEN best ELSE 'cross_season' END AS season,
   CASE WHEN stays THEN 'Production year ' || year(sown) WHEN best = 'rabi' THEN 'Rabi ' || (year(sown) - (month(sown) < 10)::INT) || '/' || (year(sown) + 1 - (month(sown) < 10)::INT)
@@ -261,6 +261,6 @@ FROM row2""")
 def crop_cycles(spark, sf_dir):
     """All passes in their order, each only where the ones before found too little, and what each cycle is."""
     rows = cc.cycles(looks(spark, sf_dir), RULES)
-    places = {"peak_ndvi": 8, "ndvi_rise": 8, "ndvi_days": 6, "peak_evi": 8, "peak_ndmi": 8, "peak_cvi": 8, "seen_share": 8, "confidence": 6}
+    places = {"peak_ndvi": 9, "ndvi_rise": 9, "ndvi_days": 7, "peak_evi": 9, "peak_ndmi": 9, "peak_cvi": 9, "seen_share": 9, "confidence": 7}
     kept = rows.drop("c", "v", "off", "start", "base_ndvi")
     return kept.withColumns({c: F.round(c, n) for c, n in places.items()})

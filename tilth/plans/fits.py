@@ -22,10 +22,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = looks(spark, sf_dir).where("ndvi IS NOT NULL").withColumn("d", F.datediff("day", F.lit(FIRST).cast("date"))).where(F.col("d").between(-NEAR, DAYS - 1 + NEAR))
     seen = seen.groupBy(F.col("parcel_id").alias("field_id"), "d").agg(F.avg("ndvi").alias("y"))
     every = seen.select("field_id").distinct().withColumn("d", F.explode(F.sequence(F.lit(-NEAR), F.lit(DAYS - 1 + NEAR))))
-    by = Window.partitionBy("field_id").orderBy("d")
+    by, back = Window.partitionBy("field_id").orderBy("d"), Window.partitionBy("field_id").orderBy(F.desc("d"))
     side = F.when(F.col("y").isNotNull(), F.struct("d", "y"))
     rows = every.join(seen, ["field_id", "d"], "left").withColumns(
-        {"a": F.last(side, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(side, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))}
+        {"a": F.last(side, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "b": F.last(side, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))}
     )
     line = F.when(F.col("a.d") == F.col("b.d"), F.col("a.y")).otherwise(F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col("d") - F.col("a.d")) / (F.col("b.d") - F.col("a.d")))
     near = F.coalesce(F.col("d") - F.col("a.d") <= NEAR, F.lit(False)) | F.coalesce(F.col("b.d") - F.col("d") <= NEAR, F.lit(False))
@@ -62,12 +62,12 @@ fit AS (SELECT *, mz - b * mr AS offset_ FROM errors QUALIFY row_number() OVER (
 
 @query(f"""WITH {FITS},
 up AS (SELECT f.field_id, f.crop, avg(near::INT) AS support FROM fit f JOIN cur c ON c.crop = f.crop AND c.s = f.s AND c.t = f.t AND rising JOIN zs ON zs.field_id = f.field_id AND zs.d = c.d GROUP BY 1, 2)
-SELECT f.field_id, f.crop, DATE '{FIRST}' + s AS sowing, t AS stretch, round(rmse, 8) AS rmse, round(b, 6) AS scale, round(offset_, 6) AS offset_level, n AS n_days, CASE WHEN crop = 'Sugarcane' THEN 0 ELSE round(coalesce(support, 0), 8) END AS rise_support FROM fit f LEFT JOIN up USING (field_id, crop)""")
+SELECT f.field_id, f.crop, DATE '{FIRST}' + s AS sowing, t AS stretch, rmse AS rmse, round(b, 6) AS scale, round(offset_, 6) AS offset_level, n AS n_days, CASE WHEN crop = 'Sugarcane' THEN 0 ELSE round(coalesce(support, 0), 8) END AS rise_support FROM fit f LEFT JOIN up USING (field_id, crop)""")
 def reference_fits(spark, sf_dir):
     """Each crop's reference curve on each field's season: the sowing day and stretch that fit best, level and amplitude."""
     f = _fits(spark, sf_dir)
     sowing = F.date_add(F.lit(FIRST).cast("date"), F.col("sow").cast("int"))
-    return f.select("field_id", "crop", sowing.alias("sowing"), "stretch", F.round("rmse", 8).alias("rmse"), F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("offset_level"), "n_days", F.round("rise_support", 8).alias("rise_support"))
+    return f.select("field_id", "crop", sowing.alias("sowing"), "stretch", "rmse", F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("offset_level"), "n_days", F.round("rise_support", 8).alias("rise_support"))
 
 
 _CLAIM = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMES))
@@ -78,14 +78,13 @@ j AS (
   SELECT c.field_id, claimed, o.rmse AS own_rmse, o.s AS own_sow, r.peak_age AS own_peak, (SELECT arg_min({{'crop': a.crop, 'rmse': a.rmse, 'peak_age': ra.peak_age}}, (a.rmse, a.crop)) FROM fit a JOIN ref ra ON ra.crop = a.crop WHERE a.field_id = c.field_id AND a.crop <> c.claimed) AS alt
   FROM claim c LEFT JOIN fit o ON o.field_id = c.field_id AND o.crop = c.claimed JOIN ref r ON r.crop = c.claimed),
 k AS (SELECT *, own_rmse IS NOT NULL AND alt IS NOT NULL AS able, {DAYS - 1} - own_sow AS elapsed, least(own_peak, alt.peak_age) + 25 AS after_ FROM j)
-SELECT field_id, claimed, able AND elapsed >= after_ AS checked, CASE WHEN able THEN alt.crop END AS alternative, round(own_rmse, 8) AS own_rmse, CASE WHEN able THEN round(alt.rmse, 8) END AS alternative_rmse, CASE WHEN able THEN elapsed END AS days_since_sowing, CASE WHEN able THEN after_ END AS decisive_after,
+SELECT field_id, claimed, able AND elapsed >= after_ AS checked, CASE WHEN able THEN alt.crop END AS alternative, own_rmse AS own_rmse, CASE WHEN able THEN alt.rmse END AS alternative_rmse, CASE WHEN able THEN elapsed END AS days_since_sowing, CASE WHEN able THEN after_ END AS decisive_after,
   able AND elapsed >= after_ AND alt.rmse < 0.7 * own_rmse AND own_rmse - alt.rmse > 0.015 AS disagrees, CASE WHEN own_rmse IS NULL THEN 'no fit' WHEN alt IS NULL THEN 'no alternative' WHEN elapsed < after_ THEN 'too early' END AS reason FROM k""")
 def crop_check(spark, sf_dir):
     """Claimed crops against the next best reference, once the season can tell them apart."""
     fits = written(_fits(spark, sf_dir))
     claims = daily(spark, sf_dir).select("field_id").distinct().withColumn("claimed", F.get(F.array(*map(F.lit, NAMES)), (F.col("field_id") % len(NAMES)).cast("int")))
-    out = curves.crop_check(fits, claims, DAYS - 1)
-    return out.withColumns({c: F.round(c, 8) for c in ("own_rmse", "alternative_rmse")})
+    return curves.crop_check(fits, claims, DAYS - 1)
 
 
 _SHORT = max(c.peak_age for c in curves.REFERENCES if c.crop in curves.GROUPS["short_season_kharif"])
@@ -96,12 +95,11 @@ _IN = "(" + ", ".join(f"'{c}'" for c in curves.GROUPS["short_season_kharif"]) +
 b AS (SELECT field_id, grp, min(rmse) AS rmse, arg_min(crop, (rmse, crop)) AS curve, arg_min(s, (rmse, crop)) AS s FROM g GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY rmse, grp) AS k, lead(rmse) OVER (PARTITION BY field_id ORDER BY rmse, grp) AS next_rmse FROM b),
 t AS (SELECT *, CASE WHEN {DAYS - 1} - s < {_SHORT + 25} THEN 'too_early' WHEN next_rmse IS NULL OR rmse < 0.75 * next_rmse AND next_rmse - rmse > greatest(0.008, 0.5 * rmse) THEN 'decided' ELSE 'ambiguous' END AS status FROM r WHERE k = 1)
-SELECT field_id, status, CASE WHEN status = 'decided' THEN grp END AS crop_group, grp AS best_group, curve AS best_curve, round(rmse, 8) AS best_rmse, round(next_rmse, 8) AS next_rmse, {DAYS - 1} - s AS days_since_sowing,
+SELECT field_id, status, CASE WHEN status = 'decided' THEN grp END AS crop_group, grp AS best_group, curve AS best_curve, rmse AS best_rmse, next_rmse AS next_rmse, {DAYS - 1} - s AS days_since_sowing,
   (SELECT string_agg(crop, ',' ORDER BY g.rmse, crop) FROM g WHERE g.field_id = t.field_id AND g.grp = t.grp AND g.rmse <= t.rmse * 1.35 + 0.005) AS candidates FROM t""")
 def crop_groups(spark, sf_dir):
     """Short or long season, where crops within a group can't be told apart."""
-    out = curves.crop_group(_fits(spark, sf_dir), DAYS - 1)
-    return out.withColumns({c: F.round(c, 8) for c in ("best_rmse", "next_rmse")})
+    return curves.crop_group(_fits(spark, sf_dir), DAYS - 1)
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilth.plans import accuracy, aggregates, cropcycles, domain, evaluations, fits, ingest, observed, performance, projections, relations, rollups, scoring, seasons, stateful  # noqa: F401  they register
+from tilth.plans import accuracy, aggregates, cropcycles, domain, evaluations, fits, ingest, observed, performance, projections, relations, rollups, scoring, seasons, stateful, zoning  # noqa: F401  they register
 from tilth.plans.base import QUERIES, SQL
 
 FLAGSHIP = "portfolio_by_risk"
