@@ -9,7 +9,7 @@ from tilth.operators import graph, kernels, matching
 from tilth.plans.base import query, table
 from tilth.plans.observed import GRID, best
 from tilth.plans.relations import _KM, _POINTS, _points
-from tilth.streaming import jobs
+from tilth.streaming import jobs, queue
 
 
 @query(f"""WITH RECURSIVE {_POINTS}, e AS (SELECT a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.id <> b.id WHERE {_KM} <= 40),
@@ -31,6 +31,34 @@ def stream_job_states(spark, sf_dir):
     return jobs.to_the_end(jobs.job_states(jobs.source(spark, f"{sf_dir}/conversations.parquet")), ["conv_id"])
 
 
+_GONE = "STRUCT(job BIGINT, created TIMESTAMP, started TIMESTAMP, status VARCHAR, closed TIMESTAMP, error VARCHAR)[]"
+
+
+@query(f"""WITH RECURSIVE ev AS (
+  SELECT user_id % 25 AS pool, CAST(ts AS TIMESTAMP) AS moment, event_id AS job, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'claimed' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS event FROM events WHERE event_type <> 'view'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY moment, job) AS k FROM ev),
+walk AS (
+  SELECT DISTINCT pool, CAST(0 AS BIGINT) AS k, CAST([] AS {_GONE}) AS waiting, CAST([] AS {_GONE}) AS running, CAST([] AS {_GONE}) AS gone FROM ev
+  UNION ALL SELECT pool, k, CASE WHEN event = 'queued' THEN waiting || CAST([{{'job': job, 'created': moment, 'started': NULL, 'status': 'QUEUED', 'closed': NULL, 'error': NULL}}] AS {_GONE}) WHEN event = 'claimed' THEN waiting[2:] ELSE waiting END,
+    CASE WHEN event = 'claimed' AND len(waiting) > 0 THEN still || CAST([{{'job': waiting[1].job, 'created': waiting[1].created, 'started': moment, 'status': 'RUNNING', 'closed': NULL, 'error': NULL}}] AS {_GONE}) WHEN event IN ('done', 'failed') THEN still[2:] ELSE still END,
+    late || CASE WHEN event IN ('done', 'failed') AND len(still) > 0 THEN CAST([{{'job': still[1].job, 'created': still[1].created, 'started': still[1].started, 'status': upper(event), 'closed': moment, 'error': CASE WHEN event = 'failed' THEN 'worker error' END}}] AS {_GONE}) ELSE [] END
+  FROM (SELECT e.pool, e.k, e.moment, e.event, e.job, w.waiting, list_filter(w.running, lambda r: r.started + INTERVAL 45 MINUTES >= e.moment) AS still,
+      CAST(list_transform(list_filter(w.running, lambda r: r.started + INTERVAL 45 MINUTES < e.moment), lambda r: {{'job': r.job, 'created': r.created, 'started': r.started, 'status': 'FAILED', 'closed': r.started + INTERVAL 45 MINUTES, 'error': 'timed out'}}) AS {_GONE}) AS late
+    FROM walk w JOIN numbered e ON e.pool = w.pool AND e.k = w.k + 1)),
+ends AS (SELECT pool, arg_max(waiting, k) AS waiting, arg_max(running, k) AS running FROM walk GROUP BY 1),
+every AS (SELECT pool, unnest(gone) AS r FROM walk UNION ALL SELECT pool, unnest(waiting) FROM ends UNION ALL SELECT pool, unnest(running) FROM ends),
+mark AS (SELECT max(moment) - INTERVAL 1 HOUR AS mark FROM ev),
+told AS (SELECT pool, r.job AS job, r.status AS status, r.created AS created, r.started AS started, r.closed AS closed, r.error AS error, r.status = 'RUNNING' AND r.started + INTERVAL 45 MINUTES < mark AS timed_out FROM every, mark)
+SELECT pool, job, CASE WHEN timed_out THEN 'FAILED' ELSE status END AS status, created, started, CASE WHEN timed_out THEN started + INTERVAL 45 MINUTES ELSE closed END AS closed, CASE WHEN timed_out THEN 'timed out' ELSE error END AS error FROM told""")
+def job_queue(spark, sf_dir):
+    """Jobs as a stream of events leaves them: in line, running, done, failed, or failed because their time was up."""
+    events = jobs.source(spark, f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "click", "claimed").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    told = events.select((F.col("user_id") % 25).alias("pool"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), kind.alias("event"), F.col("event_id").alias("job"))
+    run = queue.with_lists(lambda stream: jobs.to_the_end(stream, ["pool", "job"], "change"))
+    return run(queue.job_rows(told.where("event IS NOT NULL"))).drop("change")
+
+
 @query("""WITH w AS (SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS n FROM events) SELECT user_id, max(n) AS most, count(*) FILTER (n >= 4) AS limited FROM w GROUP BY 1""")
 def rate_limit(spark, sf_dir):
     """Events of the user in the last six hours, at each event."""

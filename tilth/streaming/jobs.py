@@ -25,10 +25,10 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return stream.parquet(path)
 
 
-def to_the_end(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+def to_the_end(stream: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """Runs the stream over all that is available. Each batch adds only the rows of the keys that it changed, under its
-    number; the table's rows are those of the last batch of each key. A batch that is run again adds the same rows, and
-    what the watermark has closed leaves the state."""
+    number; the table's rows are those of the last batch of each key, the last by `order` where a batch has several. A
+    batch that is run again adds the same rows, and what the watermark has closed leaves the state."""
     spark, place = stream.sparkSession, shared(stream.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
@@ -38,7 +38,7 @@ def to_the_end(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     running.awaitTermination()
     rows = spark.read.schema(stream.withColumn("__batch", F.lit(0)).schema).parquet(f"{place}/table")
     rest = [c for c in stream.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__row"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__batch", order) if order else F.col("__batch")).alias("__row"))
     return last.select(*keys, "__row.*").select(*stream.columns)
 
 
