@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.operators import polygons
+from tilth.operators import polygons, regions
 from tilth.operators.graph import written
 from tilth.plans.base import query, table
 
@@ -111,3 +111,21 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_disagreements(spark, sf_dir):
     """What records and matched fields disagree on beyond the tolerances, a row each."""
     return _compared(spark, sf_dir).select("record_id", "method", F.explode("log").alias("disagreement"))
+
+
+def region_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cells of a grid forty wide: blocks of staggered bricks, and every eleventh cell a region of its own."""
+    k = F.col("c_custkey")
+    row, column = F.floor(k / 40), k % 40
+    brick = 1000 * F.floor(row / 3) + F.floor((column + 2 * (F.floor(row / 3) % 2)) / 5)
+    return table(spark, sf_dir, "customer").select(row.alias("row"), column.alias("column"), F.when(k % 11 == 0, 1_000_000 + k).otherwise(brick).alias("region"))
+
+
+@query()
+def merged_fields(spark, sf_dir):
+    """Regions of the grid: specks in the neighbour of the longest border, then neighbours of one kind as one field."""
+    cells = region_cells(spark, sf_dir)
+    own = cells.groupBy(F.col("region").alias("id")).agg((F.count(F.lit(1)) * 0.04).alias("area"))
+    own = own.select("id", "area", (F.col("id") % 3).alias("kind"), ((F.col("id") % 10) / 10.0).alias("confidence"))
+    found, _ = regions.fields(written(own), regions.grid_borders(cells), regions.speck_limit(0.2))
+    return found
