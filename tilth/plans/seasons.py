@@ -30,18 +30,6 @@ def resilience(spark, sf_dir):
     return v.select("parcel_id", signals.alias("signals"), F.when(enough, signals > 0).alias("tested"), F.when(enough, F.round("peak", 9)).alias("peak"), F.when(enough & (signals > 0), score).alias("score"))
 
 
-@query(f"""WITH {OBS}, m AS (SELECT parcel_id, avg(CASE WHEN {_D} < 10 THEN signal END) AS pre, avg(CASE WHEN {_D} BETWEEN 10 AND 19 THEN signal END) AS mid, avg(CASE WHEN {_D} >= 20 THEN signal END) AS post FROM obs GROUP BY 1)
-SELECT parcel_id, round(pre, 9) AS pre, round(mid, 9) AS mid, round(post, 9) AS post, CASE WHEN coalesce(mid, pre, post) IS NULL THEN 'unseen' WHEN mid >= 0.5 AND post >= 0.5 THEN 'double' WHEN mid >= 0.45 THEN 'main' WHEN post >= 0.45 THEN 'late' ELSE 'none' END AS presence FROM m""")
-def season_presence(spark, sf_dir):
-    """Means before, in and after the season, and what they say was grown."""
-    part = lambda test: F.avg(F.when(test, F.col("signal")))
-    d = F.col("d")
-    m = _numbered(spark, sf_dir).groupBy("parcel_id").agg(part(d < 10).alias("pre"), part(d.between(10, 19)).alias("mid"), part(d >= 20).alias("post"))
-    mid, post = F.col("mid"), F.col("post")
-    presence = F.when(F.coalesce("mid", "pre", "post").isNull(), "unseen").when((mid >= 0.5) & (post >= 0.5), "double").when(mid >= 0.45, "main").when(post >= 0.45, "late").otherwise("none")
-    return m.select("parcel_id", *[F.round(c, 9).alias(c) for c in ("pre", "mid", "post")], presence.alias("presence"))
-
-
 @query(f"""WITH {_SERIES}, w AS (SELECT *, max(CASE WHEN v < 0.35 THEN 1 ELSE 0 END) OVER (PARTITION BY parcel_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was_bare, lead(v) OVER (PARTITION BY parcel_id ORDER BY d) AS nxt FROM e)
 SELECT parcel_id, min(d) AS emerged FROM w WHERE was_bare = 1 AND v >= 0.45 AND nxt >= 0.45 GROUP BY 1""")
 def radar_emergence(spark, sf_dir):
@@ -64,56 +52,6 @@ def cultivation_signal(spark, sf_dir):
     return m.where("n >= 3").select("parcel_id", F.round(score, 8).alias("strength"))
 
 
-@query(f"""WITH {CYCLES}, prior AS (SELECT p_partkey AS crop_id, p_size AS usual, p_retailprice / 300 AS top FROM part),
-j AS (SELECT parcel_id, abs(days - usual) <= 15 AS fits, area_ha <= top AS low FROM cycles JOIN prior USING (crop_id))
-SELECT parcel_id, count(*) AS cycles, round(avg(CASE WHEN fits AND low THEN 1.0 ELSE 0.0 END), 9) AS consistent, round(least(0.55, avg(CASE WHEN fits AND low THEN 1.0 ELSE 0.0 END)), 9) AS confidence,
-  CASE WHEN avg(CASE WHEN fits AND low THEN 1.0 ELSE 0.0 END) >= 0.3 THEN 'plausible' WHEN avg(CASE WHEN fits THEN 1.0 ELSE 0.0 END) >= 0.3 THEN 'peak differs' ELSE 'duration differs' END AS verdict FROM j GROUP BY 1""")
-def verify_crop(spark, sf_dir):
-    """Declared crops against what is usual for them in length and level; the confidence is capped."""
-    prior = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("crop_id"), F.col("p_size").alias("usual"), (F.col("p_retailprice") / 300).alias("top"))
-    j = cycles(spark, sf_dir).join(prior, "crop_id").select("parcel_id", (F.abs(F.col("days") - F.col("usual")) <= 15).alias("fits"), (F.col("area_ha") <= F.col("top")).alias("low"))
-    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
-    both, fits = share(F.col("fits") & F.col("low")), share(F.col("fits"))
-    verdict = F.when(both >= 0.3, "plausible").when(fits >= 0.3, "peak differs").otherwise("duration differs")
-    return j.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("cycles"), F.round(both, 9).alias("consistent"), F.round(F.least(F.lit(0.55), both), 9).alias("confidence"), verdict.alias("verdict"))
-
-
-@query(f"""WITH {CYCLES}, e AS (SELECT cycle_id, crop_id % 50 AS crop, days / 50.0 AS a, least(1.5, area_ha / 4) AS b, (days + 2 * area_ha) / 60 AS c FROM cycles),
-m AS (SELECT *, a + b + c - least(a, b, c) - greatest(a, b, c) AS mid, greatest(a, b, c) - least(a, b, c) AS spread FROM e),
-r AS (SELECT *, count(*) OVER (PARTITION BY crop) AS peers, cume_dist() OVER (PARTITION BY crop ORDER BY mid) AS place FROM m)
-SELECT cycle_id, round(mid, 9) AS mid, round(0.15 + spread / 2, 9) AS band, CASE WHEN peers >= 15 THEN round(place, 9) END AS place FROM r""")
-def yield_ensemble(spark, sf_dir):
-    """The middle of three estimates, a band widened by their spread, and the place among peers where there are enough."""
-    e = cycles(spark, sf_dir).select("cycle_id", (F.col("crop_id") % 50).alias("crop"), (F.col("days") / 50.0).alias("a"), F.least(F.lit(1.5), F.col("area_ha") / 4).alias("b"), ((F.col("days") + 2 * F.col("area_ha")) / 60).alias("c"))
-    low, high = F.least("a", "b", "c"), F.greatest("a", "b", "c")
-    m = e.select("cycle_id", "crop", (F.col("a") + F.col("b") + F.col("c") - low - high).alias("mid"), (high - low).alias("spread"))
-    own = Window.partitionBy("crop")
-    place = F.when(F.count(F.lit(1)).over(own) >= 15, F.round(F.cume_dist().over(own.orderBy("mid")), 9))
-    return m.select("cycle_id", F.round("mid", 9).alias("mid"), F.round(0.15 + F.col("spread") / 2, 9).alias("band"), place.alias("place"))
-
-
-@query(f"""WITH {OBS}, r AS (SELECT day, median(signal) AS mid FROM obs WHERE sensor = 'view' GROUP BY 1)
-SELECT o.parcel_id, o.obs_id, round(signal / nullif(mid, 0), 9) AS ratio, CASE WHEN signal IS NULL OR mid IS NULL THEN 'unknown' WHEN signal < 0.85 * mid THEN 'low' WHEN signal > 1.15 * mid THEN 'high' ELSE 'adequate' END AS nitrogen FROM obs o JOIN r USING (day) WHERE sensor = 'view'""")
-def nitrogen_status(spark, sf_dir):
-    """Each red-edge look against the middle of its date."""
-    o = observations(spark, sf_dir).where("sensor = 'view'")
-    mid = o.groupBy("day").agg(F.median("signal").alias("mid"))
-    signal, middle = F.col("signal"), F.col("mid")
-    status = F.when(signal.isNull() | middle.isNull(), "unknown").when(signal < 0.85 * middle, "low").when(signal > 1.15 * middle, "high").otherwise("adequate")
-    return o.join(mid, "day").select("parcel_id", "obs_id", F.round(F.try_divide(signal, middle), 9).alias("ratio"), status.alias("nitrogen"))
-
-
-@query(f"""WITH {_SERIES}, o AS (SELECT parcel_id, min(d) AS onset FROM e WHERE v >= 0.4 GROUP BY 1)
-SELECT CAST(floor((d - onset) / 3.0) AS INTEGER) AS step, count(DISTINCT e.parcel_id) AS seasons, round(avg(v), 9) AS normal, round(stddev_pop(v), 9) AS spread FROM e JOIN o USING (parcel_id) GROUP BY 1 HAVING count(DISTINCT e.parcel_id) >= 3""")
-def village_normal(spark, sf_dir):
-    """The mean of seasons laid over one another at their onsets."""
-    e = _series(spark, sf_dir)
-    onset = e.where("v >= 0.4").groupBy("parcel_id").agg(F.min("d").alias("onset"))
-    step = F.floor((F.col("d") - F.col("onset")) / 3.0).cast("int")
-    by = e.join(onset, "parcel_id").groupBy(step.alias("step")).agg(F.countDistinct("parcel_id").alias("seasons"), F.round(F.avg("v"), 9).alias("normal"), F.round(F.stddev_pop("v"), 9).alias("spread"))
-    return by.where("seasons >= 3")
-
-
 @query(f"""WITH {CYCLES}, a AS (SELECT cycle_id, sown, days, DATE '1995-03-01' AS today FROM cycles WHERE sown <= DATE '1995-03-01' AND harvested > DATE '1995-03-01')
 SELECT cycle_id, round((today - sown) / CAST(days AS DOUBLE), 9) AS tau, CASE WHEN (today - sown) / CAST(days AS DOUBLE) < 0.2 THEN 'emergence' WHEN (today - sown) / CAST(days AS DOUBLE) < 0.5 THEN 'growth' WHEN (today - sown) / CAST(days AS DOUBLE) < 0.8 THEN 'peak' ELSE 'ripening' END AS stage, CAST(days - (today - sown) AS INTEGER) AS days_left FROM a""")
 def season_progress(spark, sf_dir):
@@ -139,50 +77,6 @@ def stress_points(spark, sf_dir):
     return s.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("looks"), F.round(F.avg(F.when(F.col("bad"), 1.0).otherwise(0.0)), 9).alias("stressed_share"), kind.alias("kind"))
 
 
-@query(f"""WITH {_SERIES}, j AS (SELECT parcel_id, d, v - lag(v) OVER w AS jump, d - lag(d) OVER w AS gap FROM e WINDOW w AS (PARTITION BY parcel_id ORDER BY d)), u AS (SELECT d, median(jump) AS usual, count(jump) AS fields FROM j WHERE gap <= 6 GROUP BY 1)
-SELECT parcel_id, d, round(jump, 9) AS jump, fields FROM j JOIN u USING (d) WHERE gap <= 6 AND jump >= 0.08 AND usual < 0.04""")
-def irrigation_events(spark, sf_dir):
-    """A jump in moisture within six days that the other fields of the day do not share."""
-    by = Window.partitionBy("parcel_id").orderBy("d")
-    j = _series(spark, sf_dir).select("parcel_id", "d", (F.col("v") - F.lag("v").over(by)).alias("jump"), (F.col("d") - F.lag("d").over(by)).alias("gap")).where("gap <= 6")
-    usual = j.groupBy("d").agg(F.median("jump").alias("usual"), F.count("jump").alias("fields"))
-    return j.join(usual, "d").where("jump >= 0.08 AND usual < 0.04").select("parcel_id", "d", F.round("jump", 9).alias("jump"), "fields")
-
-
-_STATE = f"""{_SERIES}, m AS (SELECT parcel_id, CAST(day - DATE '{ANCHOR}' AS INTEGER) AS d, avg(CASE WHEN sensor = 'view' THEN cloud END) / 100.0 AS radar FROM obs GROUP BY 1, 2),
-g AS (SELECT p.parcel_id, CAST(t.d AS INTEGER) AS d, e.v, m.radar FROM (SELECT DISTINCT parcel_id FROM obs) p CROSS JOIN range(0, 31) t(d) LEFT JOIN e ON e.parcel_id = p.parcel_id AND e.d = t.d LEFT JOIN m ON m.parcel_id = p.parcel_id AND m.d = t.d)"""
-
-
-@query(f"""WITH RECURSIVE {_STATE},
-r AS (
-  SELECT DISTINCT parcel_id, -1 AS d, CAST(0.05 AS DOUBLE) AS cover, CAST(0 AS DOUBLE) AS biomass, CAST(0.40 AS DOUBLE) AS doubt FROM g
-  UNION ALL SELECT parcel_id, d, CASE WHEN v IS NOT NULL THEN 0.35 * grown + 0.65 * greatest(0.0, least(1.0, (v - 0.12) / 0.72)) WHEN radar IS NOT NULL THEN 0.55 * grown + 0.45 * greatest(0.0, least(1.0, (radar - 0.12) / 0.55)) ELSE grown END,
-    biomass, CASE WHEN v IS NOT NULL THEN doubt * 0.35 WHEN radar IS NOT NULL THEN doubt * 0.62 ELSE doubt END
-  FROM (SELECT r.parcel_id, g.d, g.v, g.radar, least(0.95, r.cover + 0.018 * greatest(0.0, 0.95 - r.cover)) AS grown, r.biomass + 8.0 * greatest(0.0, least(0.95, 1.15 * r.cover - 0.05)) AS biomass, least(1.0, r.doubt + 0.035) AS doubt
-        FROM r JOIN g ON g.parcel_id = r.parcel_id AND g.d = r.d + 1))
-SELECT parcel_id, round(max(CASE WHEN d = 30 THEN cover END), 8) AS cover, round(max(CASE WHEN d = 30 THEN biomass END), 7) AS biomass, round(max(CASE WHEN d = 30 THEN doubt END), 8) AS doubt, round(max(CASE WHEN d >= 0 THEN cover END), 8) AS most_cover FROM r GROUP BY 1""")
-def daily_state(spark, sf_dir):
-    """Cover, biomass and doubt carried from day to day: growth in between, corrections by optical looks, weaker ones by
-    radar. One fold over a fixed number of days."""
-    o = _numbered(spark, sf_dir)
-    daily = o.groupBy("parcel_id", "d").agg(F.avg("signal").alias("v"), (F.avg(F.when(F.col("sensor") == "view", F.col("cloud"))) / 100.0).alias("radar"))
-    by = daily.groupBy("parcel_id").agg(F.map_from_entries(F.collect_list(F.struct("d", F.struct("v", "radar")))).alias("seen"))
-    start = F.struct(F.lit(0.05).alias("cover"), F.lit(0.0).alias("biomass"), F.lit(0.40).alias("doubt"), F.lit(0.0).alias("most"))
-    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-
-    def day(s: Column, d: Column) -> Column:
-        look = F.try_element_at("seen", d)
-        v, radar = look["v"], look["radar"]
-        grown = F.least(F.lit(0.95), s["cover"] + 0.018 * F.greatest(F.lit(0.0), 0.95 - s["cover"]))
-        cover = F.when(v.isNotNull(), 0.35 * grown + 0.65 * held((v - 0.12) / 0.72)).when(radar.isNotNull(), 0.55 * grown + 0.45 * held((radar - 0.12) / 0.55)).otherwise(grown)
-        doubt = F.least(F.lit(1.0), s["doubt"] + 0.035) * F.when(v.isNotNull(), 0.35).when(radar.isNotNull(), 0.62).otherwise(1.0)
-        light = F.greatest(F.lit(0.0), F.least(F.lit(0.95), 1.15 * s["cover"] - 0.05))
-        return F.struct(cover.alias("cover"), (s["biomass"] + 8.0 * light).alias("biomass"), doubt.alias("doubt"), F.greatest(s["most"], cover).alias("most"))
-
-    end = by.select("parcel_id", F.aggregate(F.sequence(F.lit(0), F.lit(30)), start, day).alias("s"))
-    return end.select("parcel_id", F.round("s.cover", 8).alias("cover"), F.round("s.biomass", 7).alias("biomass"), F.round("s.doubt", 8).alias("doubt"), F.round("s.most", 8).alias("most_cover"))
-
-
 @query("""WITH j AS (SELECT o_orderkey, o_orderstatus, o_orderdate, max(o_orderdate) OVER () AS now FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderdate < now - INTERVAL 45 DAY THEN 'FAILED' ELSE CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'DONE' ELSE 'QUEUED' END END AS status, CASE WHEN o_orderstatus = 'O' AND o_orderdate < now - INTERVAL 45 DAY THEN 'timed_out_reaped' END AS error FROM j""")
 def reaped_jobs(spark, sf_dir):
@@ -194,15 +88,6 @@ def reaped_jobs(spark, sf_dir):
     return o.crossJoin(o.agg(F.max("o_orderdate").alias("now"))).select("o_orderkey", status.alias("status"), F.when(stuck, "timed_out_reaped").alias("error"))
 
 
-@query(f"""WITH {_SERIES}, final AS (SELECT parcel_id, d, round(v, 9) AS v FROM e WHERE d <= 14), fresh AS (SELECT parcel_id, d, round(v * 1.0, 9) AS v FROM e WHERE d > 14)
-SELECT *, 'reused' AS origin FROM final UNION ALL SELECT *, 'computed' FROM fresh""")
-def reused_days(spark, sf_dir):
-    """Days that are final are taken over, only later ones are computed; the cut reaches the scan of each half."""
-    e = lambda rows: rows.groupBy("parcel_id", "d").agg(F.round(F.avg("signal"), 9).alias("v"))
-    rows = _numbered(spark, sf_dir).where("signal IS NOT NULL")
-    return e(rows.where("d <= 14")).withColumn("origin", F.lit("reused")).unionByName(e(rows.where("d > 14")).withColumn("origin", F.lit("computed")))
-
-
 @query(f"""WITH {CYCLES}, peak AS (SELECT parcel_id, year(sown + CAST(days // 2 AS INTEGER)) AS year, arg_max(cycle_id, (area_ha, cycle_id)) AS cycle_id FROM cycles GROUP BY 1, 2)
 SELECT cycle_id, parcel_id, CAST(year AS INTEGER) AS year, vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM peak JOIN embeddings ON vec_id = parcel_id * 7 % 500 + (year - 1992)""")
 def embedding_of_year(spark, sf_dir):
