@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.functions.agronomy import wilson
-from tilth.operators import evaluation
+from tilth.operators import evaluation, gates
 from tilth.plans.base import CYCLES, cycles, query, table
 
 #: A map class a line, its reference class, and the stratum the line was drawn from.
@@ -216,37 +216,79 @@ def iou_summary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(iou), 9).alias("median_iou"), F.round(F.avg(iou), 9).alias("mean_iou"), share(iou >= 0.5).alias("over_half"), share(iou >= 0.3).alias("over_third"), share(F.col("l_linenumber") > 1).alias("fragmented"))
 
 
-@query(f"""WITH {_SCORES}, {_SOWING.replace('WITH ', '')},
-s AS (SELECT * FROM t WHERE label IN ('A', 'N')),
+_EVIDENCE = f"""{_SCORES}, {_SOWING.replace('WITH ', '')},
+sc AS (SELECT *, CASE label WHEN 'A' THEN 'Cotton' WHEN 'N' THEN 'Soyabean' END AS item FROM t WHERE label IN ('A', 'N')),
+ev AS (
+  SELECT 'precision' AS measure, 'heldout' AS source, item, tp / nullif(tp + fp, 0) AS x, tp + fp AS n FROM sc UNION ALL SELECT 'recall', 'heldout', item, tp / nullif(tp + fn, 0), tp + fn FROM sc
+  UNION ALL SELECT 'precision_low', 'heldout', item, {_low('tp', '(tp + fp)')}, tp + fp FROM sc UNION ALL SELECT 'recall_low', 'heldout', item, {_low('tp', '(tp + fn)')}, tp + fn FROM sc
+  UNION ALL SELECT m, 'd1', item, x, 100 FROM (SELECT unnest(['Cotton', 'Soyabean']) AS item), (VALUES ('precision', 0.91), ('recall', 0.92), ('precision_low', 0.84), ('recall_low', 0.86)) v(m, x)
+  UNION ALL SELECT 'abstain_rate', 'classification', NULL, avg(CASE WHEN predicted IS NULL THEN 1.0 ELSE 0.0 END), count(*) FROM pairs
+  UNION ALL SELECT 'kappa', 'd1', NULL, avg(CASE WHEN reference IS NOT DISTINCT FROM predicted THEN 1.0 ELSE 0.0 END), count(*) FROM pairs
+  UNION ALL SELECT 'area_map', 'd1', CASE l_returnflag WHEN 'A' THEN 'Cotton' WHEN 'N' THEN 'Soyabean' ELSE 'Fallow' END, sum(l_quantity) / 1000, 0 FROM lineitem GROUP BY 3
+  UNION ALL SELECT 'area_estimate', 'd1', CASE l_returnflag WHEN 'A' THEN 'Cotton' WHEN 'N' THEN 'Soyabean' ELSE 'Fallow' END, sum(l_quantity * CASE WHEN l_linenumber > 6 THEN 2 ELSE 1 END) / 1000, 0 FROM lineitem GROUP BY 3
+  UNION ALL SELECT 'area_total', 'd1', NULL, sum(l_quantity) / 1000, 0 FROM lineitem
+  UNION ALL SELECT 'sowing_late', 'fields', NULL, count(*) FILTER (sown > survey) / nullif(CAST(count(survey) AS DOUBLE), 0), count(survey) FROM fields
+  UNION ALL SELECT 'sowing_agreement', 'fields', NULL, count(*) FILTER (abs(sown - radar) <= 10) / nullif(CAST(count(radar) AS DOUBLE), 0), count(radar) FROM fields
+  UNION ALL SELECT 'sowing_median', 'client', NULL, median(abs(sown - client)), count(client) FROM fields UNION ALL SELECT 'sowing_p90', 'client', NULL, quantile_cont(abs(sown - client), 0.9), count(client) FROM fields
+  UNION ALL SELECT 'yield_field', 'client', l_returnflag, median(abs(l_tax * 400)), count(*) FROM lineitem GROUP BY 3 UNION ALL SELECT 'yield_total', 'client', l_returnflag, avg(l_tax * 100), count(*) FROM lineitem GROUP BY 3
+  UNION ALL SELECT 'delineation_iou', 'benchmark', NULL, median(l_discount * 10), count(*) FROM lineitem
+  UNION ALL SELECT 'raster_checks', 'tests', NULL, avg(CASE WHEN l_quantity > 0 THEN 1.0 ELSE 0.0 END), count(*) FROM lineitem UNION ALL SELECT 'stress_plausible', 'survey', NULL, 0.9, 10),
+d AS (SELECT *, measure || '_' || source || '_' || coalesce(item, '') AS k FROM ev),
+u AS (SELECT coalesce(max(x) FILTER (measure = 'kappa' AND n > 0) >= 0.70, false) AS usable FROM d),
+pr AS (SELECT source, item, max(x) FILTER (measure = 'precision') AS p, max(x) FILTER (measure = 'recall') AS r, max(x) FILTER (measure = 'precision_low') AS pl, max(x) FILTER (measure = 'recall_low') AS rl FROM d WHERE item IN ('Cotton', 'Soyabean') AND measure IN ('precision', 'recall', 'precision_low', 'recall_low') GROUP BY 1, 2),
+pu AS (SELECT pr.* FROM pr, u WHERE (source = 'heldout' OR usable) AND p IS NOT NULL AND r IS NOT NULL AND pl IS NOT NULL AND rl IS NOT NULL),
+ar AS (SELECT abs(m - e) / nullif(e, 0) * 100 AS off FROM (SELECT item, max(x) FILTER (measure = 'area_map') AS m, max(x) FILTER (measure = 'area_estimate') AS e FROM d WHERE item NOT IN ('Fallow') GROUP BY 1), (SELECT max(x) AS total FROM d WHERE measure = 'area_total') WHERE m IS NOT NULL AND greatest(m, e) / total >= 0.05),
+yl AS (SELECT item, max(x) FILTER (measure = 'yield_field') AS f, max(x) FILTER (measure = 'yield_total') AS t FROM d WHERE measure LIKE 'yield%' AND n >= 30 GROUP BY 1),
+v AS (SELECT measure, max(x) AS x, min(x) AS low FROM d GROUP BY 1),
 g AS (
-  SELECT 'classification_precision_recall' AS gate, min(least(tp / (tp + fp), tp / (tp + fn))) AS value, 0.85 AS threshold, 1 AS sign, bool_and({_low('tp', '(tp + fp)')} >= 0.80 AND {_low('tp', '(tp + fn)')} >= 0.80) AS extra FROM s
-  UNION ALL SELECT 'classification_abstain_rate', avg(CASE WHEN predicted IS NULL THEN 1.0 ELSE 0.0 END), 0.20, -1, true FROM pairs
-  UNION ALL SELECT 'sowing_upper_bound', count(*) FILTER (sown > survey) / nullif(CAST(count(survey) AS DOUBLE), 0), 0.05, -1, true FROM fields
-  UNION ALL SELECT 'sowing_optical_radar', count(*) FILTER (abs(sown - radar) <= 10) / nullif(CAST(count(radar) AS DOUBLE), 0), 0.80, 1, true FROM fields
-  UNION ALL SELECT 'sowing_abs_error', median(abs(sown - client)), 7, -1, quantile_cont(abs(sown - client), 0.9) <= 15 FROM fields
-  UNION ALL SELECT 'yield_error', NULL, 0.25, -1, true
-  UNION ALL SELECT 'delineation_iou', median(l_discount * 10), 0.60, 1, true FROM lineitem)
-SELECT gate, round(value, 9) AS value, CASE WHEN value IS NULL THEN 'NOT MEASURED' WHEN sign * value >= sign * threshold AND extra THEN 'PASS' ELSE 'FAIL' END AS result FROM g""")
+  SELECT 'classification_precision_recall' AS gate, 'Classification' AS component, min(least(p, r)) AS value, CASE WHEN bool_or(p < 0.85 OR r < 0.85 OR pl < 0.80 OR rl < 0.80) THEN 'FAIL' WHEN count(*) = 4 THEN 'PASS' ELSE 'NOT MEASURED' END AS result, 'Not released' AS unmet FROM pu
+  UNION ALL SELECT 'area_vs_d1', 'Area', CASE WHEN usable THEN o END, CASE WHEN NOT usable OR k = 0 THEN 'NOT MEASURED' WHEN o > 10 THEN 'FAIL' WHEN k = kk THEN 'PASS' ELSE 'NOT MEASURED' END, 'Not released' FROM u, (SELECT max(off) AS o, count(*) AS k, count(off) AS kk FROM ar)
+  UNION ALL SELECT 'yield_error', 'Yield', max(f), CASE WHEN count(*) = 0 THEN 'NOT MEASURED' WHEN bool_or(coalesce(f > 25 OR t IS NULL OR abs(t) > 10, true)) THEN 'FAIL' ELSE 'PASS' END, 'Published only as a district-anchored band with label (5.6)' FROM yl
+  UNION ALL SELECT gate, component, x, CASE WHEN x IS NULL THEN 'NOT MEASURED' WHEN sign * x >= sign * bound AND (gate <> 'sowing_abs_error' OR (SELECT x <= 15 FROM v WHERE measure = 'sowing_p90')) THEN 'PASS' ELSE 'FAIL' END, unmet
+  FROM (VALUES ('classification_calibration', 'Classification', 'ece', -1, 0.05, 'Not released'), ('classification_abstain_rate', 'Classification', 'abstain_rate', -1, 0.20, 'Released; abstentions shown'), ('reference_kappa', 'Reference quality', 'kappa', 1, 0.70, 'D1 not used for gating'), ('area_vs_official', 'Area', 'official_diff', -1, 15, 'Not released'),
+    ('delineation_iou', 'Delineation', 'delineation_iou', 1, 0.60, 'Shown with boundary_confidence'), ('sowing_upper_bound', 'Sowing', 'sowing_late', -1, 0.05, 'Shown as window, not date'), ('sowing_optical_radar', 'Sowing', 'sowing_agreement', 1, 0.80, 'Shown as window, not date'), ('sowing_abs_error', 'Sowing', 'sowing_median', -1, 7, 'Labelled "not yet validated against farm records"'),
+    ('stage_d1_agreement', 'Stage', 'stage_agreement', 1, 0.80, 'Labelled provisional'), ('stress_plausibility', 'Stress', 'stress_without_audit', 1, 0.80, 'Shown as anomaly only, type withheld'), ('raster_integrity', 'Raster', 'raster_checks', 1, 1, 'Not released'), ('insufficient_evidence', 'All', 'evidence_used', 1, 1, 'Not released')) w(gate, component, m, sign, bound, unmet) LEFT JOIN v ON v.measure = m)"""
+
+
+@query(f"""WITH {_EVIDENCE} SELECT gate, component, round(value, 9) AS value, result, CASE WHEN result = 'PASS' THEN 'Meets gate' ELSE unmet END AS consequence, NOT bool_or(result <> 'PASS' AND unmet = 'Not released') OVER (PARTITION BY component) AS releasable FROM g""")
 def release_gates(spark, sf_dir):
-    """A row a gate: its value and PASS, FAIL, or NOT MEASURED where its evidence is lacking."""
-    least = lambda n: wilson(F.col("tp").cast("double"), n.cast("double"))[0]
+    """All gates: a value each and PASS, FAIL, or NOT MEASURED where evidence is lacking; what holds while one is not met."""
+    return gates.evaluated(_evidence(spark, sf_dir)).withColumn("value", F.round("value", 9))
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    """measure, source, item, value and n of what the tables hold; nothing on calibration, official shares, stages or audits."""
+    item = F.when(F.col("label") == "A", "Cotton").when(F.col("label") == "N", "Soyabean")
+    low = lambda n: wilson(F.col("tp").cast("double"), n.cast("double"))[0]
     predicted, held = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
     s = _scores(spark, sf_dir).where(F.col("label").isin("A", "N"))
-    sowing = sowing_totals(spark, sf_dir)
-    pairs = _pairs(spark, sf_dir)
-    true = F.lit(True)
-    gates = [
-        (s, "classification_precision_recall", F.min(F.least("precision", "recall")), 0.85, 1, F.bool_and((least(predicted) >= 0.80) & (least(held) >= 0.80))),
-        (pairs, "classification_abstain_rate", F.avg(F.when(F.col("predicted").isNull(), 1.0).otherwise(0.0)), 0.20, -1, true),
-        (sowing, "sowing_upper_bound", F.try_divide(F.count_if(F.col("late")).cast("double"), F.count("late")), 0.05, -1, true),
-        (sowing, "sowing_optical_radar", F.try_divide(F.count_if(F.col("apart") <= 10).cast("double"), F.count("apart")), 0.80, 1, true),
-        (sowing, "sowing_abs_error", F.median("wrong"), 7.0, -1, F.percentile("wrong", F.lit(0.9)) <= 15),
-        (sowing, "yield_error", F.max(F.lit(None).cast("double")), 0.25, -1, true),
-        (table(spark, sf_dir, "lineitem"), "delineation_iou", F.median(F.col("l_discount") * 10), 0.60, 1, true),
-    ]
-    rows = [df.agg(value.alias("value"), extra.alias("extra")).select(F.lit(gate).alias("gate"), "value", "extra", F.lit(float(limit)).alias("threshold"), F.lit(sign).alias("sign")) for df, gate, value, limit, sign, extra in gates]
-    passed = (F.col("sign") * F.col("value") >= F.col("sign") * F.col("threshold")) & F.col("extra")
-    return reduce(DataFrame.unionByName, rows).select("gate", F.round("value", 9).alias("value"), F.when(F.col("value").isNull(), "NOT MEASURED").when(passed, "PASS").otherwise("FAIL").alias("result"))
+    four = F.array(*[F.struct(F.lit(m).alias("measure"), x.cast("double").alias("value"), n.cast("long").alias("n")) for m, x, n in (("precision", F.col("precision"), predicted), ("recall", F.col("recall"), held), ("precision_low", low(predicted), predicted), ("recall_low", low(held), held))])
+    scored = s.select(item.alias("item"), F.explode(four).alias("m")).select("m.measure", F.lit("heldout").alias("source"), "item", "m.value", "m.n")
+    surveyed = [(m, "d1", c, x, 100) for c in gates.REQUIRED for m, x in (("precision", 0.91), ("recall", 0.92), ("precision_low", 0.84), ("recall_low", 0.86))]
+    given = spark.createDataFrame([*surveyed, ("stress_plausible", "survey", None, 0.9, 10)], "measure string, source string, item string, value double, n long")
+
+    def said(df: DataFrame, source: str, by: Column | None = None, **values) -> DataFrame:
+        told = F.array(*[F.struct(F.lit(m).alias("measure"), x.cast("double").alias("value"), n.cast("long").alias("n")) for m, (x, n) in values.items()])
+        grouped = df.groupBy((F.lit(None).cast("string") if by is None else by).alias("item")).agg(told.alias("m"))
+        return grouped.select("item", F.explode("m").alias("m")).select("m.measure", F.lit(source).alias("source"), "item", "m.value", "m.n")
+
+    every, none = F.count(F.lit(1)), F.lit(0)
+    rate = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    pairs, sowing, line = _pairs(spark, sf_dir), sowing_totals(spark, sf_dir), table(spark, sf_dir, "lineitem")
+    crop = F.when(F.col("l_returnflag") == "A", "Cotton").when(F.col("l_returnflag") == "N", "Soyabean").otherwise("Fallow")
+    parts = [
+        scored, given,
+        said(pairs, "classification", abstain_rate=(rate(F.col("predicted").isNull()), every)),
+        said(pairs, "d1", kappa=(rate(F.col("reference").eqNullSafe(F.col("predicted"))), every)),
+        said(line, "d1", crop, area_map=(F.sum("l_quantity") / 1000, none), area_estimate=(F.sum(F.col("l_quantity") * F.when(F.col("l_linenumber") > 6, 2).otherwise(1)) / 1000, none)),
+        said(line, "d1", area_total=(F.sum("l_quantity") / 1000, none)),
+        said(sowing, "fields", sowing_late=(F.try_divide(F.count_if("late").cast("double"), F.count("late")), F.count("late")), sowing_agreement=(F.try_divide(F.count_if(F.col("apart") <= 10).cast("double"), F.count("apart")), F.count("apart"))),
+        said(sowing, "client", sowing_median=(F.median("wrong"), F.count("wrong")), sowing_p90=(F.percentile("wrong", F.lit(0.9)), F.count("wrong"))),
+        said(line, "client", F.col("l_returnflag"), yield_field=(F.median(F.abs(F.col("l_tax") * 400)), every), yield_total=(F.avg(F.col("l_tax") * 100), every)),
+        said(line, "benchmark", delineation_iou=(F.median(F.col("l_discount") * 10), every)),
+        said(line, "tests", raster_checks=(rate(F.col("l_quantity") > 0), every)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sowing_totals(spark, sf_dir) -> DataFrame:
