@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def strict_csv(spark: SparkSession, path: str, required: Sequence[str]) -> tuple[str, DataFrame | None]:
     """('available', rows) with every column as text and blank rows dropped, or ('invalid', None) where a required column is
     missing. A path that does not exist raises as any Spark read does."""
-    rows = spark.read.csv(path, header=True, inferSchema=False)
+    rows = spark.read.csv(path, header=True, inferSchema=False, escape='"')
     if not set(required) <= set(rows.columns):
         return "invalid", None
     filled = [F.col(c).isNotNull() & (F.trim(c) != "") for c in rows.columns]
