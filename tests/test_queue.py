@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,80 @@ def test_closed_jobs_leave_the_state(spark, tmp_path):
         reader = spark.read.format("statestore").option("stateVarName", name)
         held[name] = reader.load(str(tmp_path / "progress")).select(F.col("key.pool").alias("pool")).collect()
     assert {r.pool for r in held["waiting"]} == {4} and held["running"] == [] and held["closed"] == []
+
+
+class Held:
+    """A state in memory that counts the entries that are read or written."""
+
+    def __init__(self):
+        self.rows, self.cost = {}, 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = {}
+
+    def get(self):
+        self.cost += len(self.rows)
+        return self.rows[0] if isinstance(self.rows.get(0), tuple) else iter(self.rows.get(0, []))
+
+    def put(self, rows):
+        self.cost += len(rows)
+        self.rows = {0: list(rows)}
+
+    def update(self, row):
+        self.rows = {0: tuple(row)}
+
+    def containsKey(self, key):
+        self.cost += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        self.cost += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.cost += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.cost += 1
+        self.rows.pop(key, None)
+
+    def iterator(self):
+        self.cost += len(self.rows)
+        return iter(list(self.rows.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def state(self, name, *_):
+        return self.states.setdefault(name, Held())
+
+    getListState = getMapState = getValueState = state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_a_batch_costs_its_events_not_the_state():
+    """2000 jobs run over a week and time out, 1000 wait: what is read and written keeps to the number of events."""
+    rows = []
+    for k in range(2000):
+        rows += [(START + timedelta(minutes=5 * k), 2 * k, "queued", k), (START + timedelta(minutes=5 * k, seconds=1), 2 * k + 1, "claimed", None)]
+    rows += [(START + timedelta(minutes=10000, seconds=k), 9000 + k, "queued", 9000 + k) for k in range(1000)]
+    q, handle = queue.Queue(timedelta(minutes=1)), Handle()
+    q.init(handle)
+    out = pd.concat(q.handleInputRows((1,), [pd.DataFrame(rows, columns=["at", "number", "event", "job"])], None))
+    for mark in (START + timedelta(minutes=10016), START + timedelta(days=30)):
+        now = type("Now", (), {"getCurrentWatermarkInMs": lambda self, at=mark: queue._ms(at)})()
+        while due := sorted(t for t in handle.timers if t <= queue._ms(mark)):
+            handle.timers.discard(due[0])
+            out = pd.concat([out, *q.handleExpiredTimer((1,), now, type("Due", (), {"getExpiryTimeInMs": lambda self, at=due[0]: at})())])
+    last = out.groupby("job").last()
+    assert last.status.value_counts().to_dict() == {"FAILED": 2000, "QUEUED": 1000} and last.error.eq("timed out").sum() == 2000
+    assert not handle.states["running"].rows and not handle.states["closed"].rows and len(handle.states["waiting"].rows) == 1000
+    assert sum(s.cost for s in handle.states.values()) < 6 * len(rows)
