@@ -52,9 +52,36 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: str
     return left.join(best, F.col(left_id) == F.col("__left"), "left").select(*left.columns, *[F.col(f"__best.{c}").alias(f"near_{c}") for c in take])
 
 
+def expanded(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame, id: str, stands: str) -> DataFrame:
+    """pairs (a, b, more) of rows that stand for equal ones, as pairs of all rows. of_a, of_b: `id` and `stands`, the row
+    that stands for it. The last join makes most of the rows, so it keeps its many partitions though its input is small."""
+    many = 4 * pairs.sparkSession.sparkContext.defaultParallelism
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    half = pairs.join(of_b.select(F.col(id).alias("__b"), F.col(stands).alias("b")), "b").select("a", F.col("__b").alias("b"), *rest)
+    whole = half.repartition(many, "a").join(of_a.select(F.col(id).alias("__a"), F.col(stands).alias("a")).repartition(many, "a"), "a")
+    return whole.select(F.col("__a").alias("a"), "b", *rest)
+
+
+def spots(points: DataFrame, key: str, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
+    """Points at one place as one: (key, the least of the place, lat, lon; key and `spot`, that least, of every point)."""
+    each = points.groupBy(lat, lon).agg(F.min(key).alias("spot"))
+    return each.select(F.col("spot").alias(key), lat, lon), points.join(each, [lat, lon]).select(key, "spot")
+
+
 def neighbours(points: DataFrame, key: str, lat: str, lon: str, km: float, distance) -> DataFrame:
     """Pairs (a, b) with a < b no further apart than so many kilometres, met through cells of about that size: rows of
-    latitude, and in each row columns wide enough for its end nearer the pole. The date line is an edge."""
+    latitude, and in each row columns wide enough for its end nearer the pole. The date line is an edge. Points at one place
+    are met as one, and pairs made of them at the end."""
+    places, members = spots(points, key, lat, lon)
+    met = _spots_within(places, key, lat, lon, km, distance)
+    own = places.select(F.col(key).alias("a"), F.col(key).alias("b"), distance(F.col(lat), F.col(lon), F.col(lat), F.col(lon)).alias("km")).where(F.col("km") <= km)
+    both = expanded(met.unionByName(own).select("a", "b", "km", (F.col("a") == F.col("b")).alias("__same")), members, members, key, "spot")
+    pairs = both.where(~F.col("__same") | (F.col("a") < F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "km")
+
+
+def _spots_within(points: DataFrame, key: str, lat: str, lon: str, km: float, distance) -> DataFrame:
+    """neighbours() of points at different places."""
     high = km / 100.0  # a degree of latitude is over 100 km, so a row and its neighbours suffice
     row = F.floor(F.col(lat) / high)
 
@@ -87,3 +114,11 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, cell: float) -> DataFra
     area = lambda n: (F.col(f"x1_{n}") - F.col(f"x0_{n}")) * (F.col(f"y1_{n}") - F.col(f"y0_{n}"))
     out = met.where(here & (x1 > x0) & (y1 > y0)).select("a", "b", ((x1 - x0) * (y1 - y0)).alias("shared"), area("a").alias("area_a"), area("b").alias("area_b"))
     return out.withColumn("iou", F.col("shared") / (F.col("area_a") + F.col("area_b") - F.col("shared")))
+
+
+def equal_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal boxes as one: (id, the least of them, the box and n, how many they are; id and `box`, that least, of every
+    row)."""
+    sides = ["x0", "y0", "x1", "y1"]
+    each = boxes.groupBy(*sides).agg(F.min("id").alias("box"), F.count(F.lit(1)).alias("n"))
+    return each.select(F.col("box").alias("id"), *sides, "n"), boxes.join(each, sides).select("id", "box")
