@@ -79,8 +79,9 @@ over AS (SELECT a, b, shared, x.area AS area_a, y.area AS area_b, shared / (x.ar
 def polygon_overlaps(spark, sf_dir):
     """The exact area that each drawn outline shares with each true one; outlines may be concave or have holes."""
     left = _records(spark, sf_dir).where("rings IS NOT NULL").select(F.col("record_id").alias("id"), "rings")
-    met = polygons.overlaps(left, _fields(spark, sf_dir).select(F.col("field_id").alias("id"), "rings"), CELL)
-    return met.where("shared > 1e-6").select(F.col("a").alias("record_id"), F.col("b").alias("field_id"), F.round("shared", 4).alias("shared"), F.round("area_a", 4).alias("record_area"), F.round("area_b", 4).alias("field_area"), F.round("iou", 8).alias("iou"))
+    rounded = {**{c: F.round(c, 4) for c in ("shared", "area_a", "area_b")}, "iou": F.round("iou", 8)}
+    met = polygons.overlaps(left, _fields(spark, sf_dir).select(F.col("field_id").alias("id"), "rings"), CELL, F.col("shared") > 1e-6, rounded)
+    return met.select(F.col("a").alias("record_id"), F.col("b").alias("field_id"), "shared", F.col("area_a").alias("record_area"), F.col("area_b").alias("field_area"), "iou")
 
 
 _MATCHED = f"""{POLYGONS},
