@@ -221,3 +221,11 @@ def test_equal_places_and_boxes_are_met_once(spark):
     boxes = spark.createDataFrame([(k, 0.0, 0.0, 1.0, 1.0) for k in range(7)] + [(9, 0.0, 0.0, 2.0, 1.0)], "id long, x0 double, y0 double, x1 double, y1 double")
     one, own = matching.equal_boxes(boxes)
     assert {(r.id, r.n) for r in one.collect()} == {(0, 7), (9, 1)} and {(r.id, r.box) for r in own.collect()} == {(k, 0) for k in range(7)} | {(9, 9)}
+
+
+def test_like_rows_of_keys_are_one_unit(spark):
+    """Keys with the same rows share a unit, each row of a repeated key counts, and nulls are values."""
+    df = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 2, 5), ("c", 1, 5), ("d", 1, 5), ("d", 2, 5), ("e", None, 5), ("f", None, 5), ("g", 1, 5), ("g", 1, 5)], "k string, x int, y int")
+    units, members = matching.alike(df, ["k"], ["x", "y"])
+    assert {r.k: (r.unit.k, r.n) for r in members.collect()} == {"a": ("a", 1), "b": ("a", 1), "c": ("c", 2), "d": ("c", 2), "e": ("e", 1), "f": ("e", 1), "g": ("g", 2)}
+    assert sorted((r.unit.k, str(r.x)) for r in units.collect()) == [("a", "1"), ("c", "1"), ("c", "2"), ("e", "None"), ("g", "1"), ("g", "1")]

@@ -33,6 +33,14 @@ def overlap_days(start_1: Column, end_1: Column, start_2: Column, end_2: Column)
     return F.greatest(F.lit(0), F.datediff(F.least(end_1, end_2), F.greatest(start_1, start_2)) + 1)
 
 
+def alike(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Keys whose rows have the same columns as one, for joins that ask a small table for many like rows: (`unit`, columns of
+    each different set of rows; keys, `unit` and n, how many rows a key has). n is needed where keys repeat."""
+    own = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("__rows"))
+    each = own.groupBy("__rows").agg(F.min(F.struct(*keys)).alias("unit"))
+    return each.select("unit", F.explode("__rows").alias("__row")).select("unit", "__row.*"), own.join(each, "__rows").select(*keys, "unit", F.size("__rows").alias("n"))
+
+
 def banded(left: DataFrame, right: DataFrame, keys: Sequence[str], at_left: str, at_right: str, width: int) -> DataFrame:
     """Pairs of one key whose whole numbers differ by `width` at most. Right rows go to the bands on either side, so the
     join is by equality of key and band."""
