@@ -45,8 +45,10 @@ _CELLS = f"{CYCLES}, {WEATHER}, placed AS (SELECT cycles.*, s_nationkey AS cell
 @query(f"""WITH {_CELLS} SELECT cycle_id, cell, count(*) AS wet_reports, CAST(sum(w.n) AS BIGINT) AS looks, min(w.day) AS first_day FROM placed JOIN weather w USING (cell) WHERE w.day BETWEEN sown - 5 AND harvested + 5 GROUP BY 1, 2""")
 def cycle_weather_window(spark, sf_dir):
     placed = cycles(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("parcel_id") == F.col("s_suppkey")).select("cycle_id", F.col("s_nationkey").alias("cell"), "sown", "harvested")
-    hit = matching.within(placed, weather(spark, sf_dir), ["cell"], F.col("day"), F.date_sub("sown", 5), F.date_add("harvested", 5), band_days=14)
-    return hit.groupBy("cycle_id", "cell").agg(F.count(F.lit(1)).alias("wet_reports"), F.sum("n").alias("looks"), F.min("day").alias("first_day"))
+    units, members = matching.alike(placed, ["cycle_id", "cell"], ["cell", "sown", "harvested"])
+    hit = matching.within(units, weather(spark, sf_dir), ["cell"], F.col("day"), F.date_sub("sown", 5), F.date_add("harvested", 5), band_days=14)
+    seen = hit.groupBy("unit").agg(F.count(F.lit(1)).alias("wet_reports"), F.sum("n").alias("looks"), F.min("day").alias("first_day"))
+    return members.join(seen, "unit").select("cycle_id", "cell", "wet_reports", "looks", "first_day")
 
 
 @query(f"""WITH {CYCLES}, s AS (SELECT y, k.name, make_date(CAST(y AS INT), m1, 1) AS a, make_date(CAST(y AS INT), m1, 1) + 122 AS b FROM range(1994, 2003) t(y), (VALUES ('kharif', 6), ('zaid', 2)) k(name, m1)),
