@@ -2,11 +2,13 @@
 
 from datetime import date, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tilth.operators import cropcycles as cc
+from tilth.plans.cropcycles import LOOKS, REGULAR
 
 
 def season(peak=0.78, base=0.12, length=16):
@@ -107,3 +109,38 @@ def test_seasons_by_days_spent(spark):
 
 def test_empty_table(spark):
     assert cc.cycles(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_series_equals_the_sql_to_the_last_bit(spark):
+    """Thresholds meet exact ties, so a sum in another order, or 1 - 0.58 for 0.42, finds other cycles."""
+    noise = np.random.default_rng(5)
+    rows = []
+    for name in range(40):
+        values = 0.4 + 0.3 * np.sin(np.arange(60) / 5.0 + name) + 0.02 * noise.integers(-5, 6, 60) / 5
+        hidden = set(range(20 + name % 20, 29 + name % 20)) | {5, 6}
+        rows += [(name, date(2021, 6, 1) + timedelta(days=10 * k), None if k in hidden else float(v), None if k in hidden else float(0.8 * v), None if k in hidden else float(0.45 * v - 0.05)) for k, v in enumerate(values)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE lk (parcel_id BIGINT, day DATE, ndvi DOUBLE, evi DOUBLE, ndmi DOUBLE)")
+    con.executemany("INSERT INTO lk VALUES (?, ?, ?, ?, ?)", rows)
+    columns = ("parcel_id", "bin", "seen", "ndvi", "evi", "ndmi", "v", "w")
+    want = con.sql(f"WITH {REGULAR.removeprefix(LOOKS + ',')} SELECT {', '.join(columns)} FROM s").fetchall()
+    got = cc.regular(spark.createDataFrame(rows, SCHEMA.replace("string", "long"))).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 40 * 60
+
+
+def test_tasks_grow_with_parcels_and_share_two_orders(spark):
+    """Bins a task are bounded, and a task holds its bins in two sorts, whatever the values: not in two for each step of each."""
+    looks = spark.createDataFrame([r for k in range(40) for r in look_rows(f"p{k}", PROFILES["one"])], SCHEMA)
+    own = cc.parcels(looks)
+    bins = len(PROFILES["one"])
+    assert cc.tasks(own, bins_a_task=bins) == 40 and cc.tasks(own) == spark.sparkContext.defaultParallelism
+    series = cc.regular(looks, own=own, n_tasks=cc.tasks(own, bins_a_task=2 * bins))
+    plan = series._jdf.queryExecution().executedPlan().toString()
+    assert series.count() == 40 * bins and "REPARTITION_BY_NUM" in plan and "hashpartitioning(parcel_id" in plan and ", 20), " in plan
+    assert plan.count("Sort [") == 3 and plan.count("Exchange") == 2  # looks' bins rising, the grid rising and falling
+
+
+def test_looks_without_a_day_and_parcels_without_a_name(spark):
+    rows = look_rows("p", PROFILES["one"]) + [("p", None, 0.3, 0.2, 0.1)] + [(None, *r[1:]) for r in look_rows("x", PROFILES["one"])]
+    got = cc.regular(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.parcel_id for r in got} == {"p"} and sorted(r.bin for r in got) == list(range(len(PROFILES["one"])))

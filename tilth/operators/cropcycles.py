@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.operators.graph import written
-from tilth.operators.series import triangular
 
 
 @dataclass(frozen=True)
@@ -86,93 +85,143 @@ CYCLE = "struct<sow:int,peak:int,harvest:int>"
 # ---------------------------------------------------------------- the grid
 
 
-def snapped(looks: DataFrame, rules: Rules, values: tuple[str, ...] = ("ndvi", "evi", "ndmi")) -> DataFrame:
-    """parcel_id, bin, off (days from the first look), n_looks, span, start and the mean of each value's looks nearest to
-    each bin. looks: parcel_id, day, values. Parcels of too few looks are left out."""
+VALUES = ("ndvi", "evi", "ndmi")
+
+
+def parcels(looks: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """A row a parcel of enough looks, written: start, span (days), last (bin), n_looks, and how many looks have each value."""
     own = looks.groupBy("parcel_id").agg(
-        F.min("day").alias("start"), F.datediff(F.max("day"), F.min("day")).alias("span"), F.count(F.lit(1)).alias("n_looks"), *[F.count(v).alias(f"n_{v}") for v in values]
+        F.min("day").alias("start"), F.datediff(F.max("day"), F.min("day")).alias("span"), F.count(F.lit(1)).alias("n_looks"), *[F.count(v).alias(f"n_{v}") for v in VALUES]
     )
-    own = own.where(F.col("n_looks") >= rules.least_looks).withColumn("last", F.ceil(F.col("span") / rules.step).cast("int"))
-    every = own.withColumn("bin", F.explode(F.sequence(F.lit(0), "last"))).withColumn("off", F.least(F.col("bin") * rules.step, F.col("span")))
+    return written(own.where(F.col("n_looks") >= rules.least_looks).withColumn("last", F.ceil(F.col("span") / rules.step).cast("int")))
+
+
+#: About as many bins as a task sorts at once.
+BINS_A_TASK = 125_000
+
+
+def tasks(own: DataFrame, bins_a_task: int = BINS_A_TASK) -> int:
+    """How many tasks share the parcels: so many that none holds more than its bins, however many parcels there are."""
+    bins = own.agg(F.sum(F.col("last") + 1).alias("n")).first().n or 0
+    return max(own.sparkSession.sparkContext.defaultParallelism, -(-bins // bins_a_task))
+
+
+def snapped(looks: DataFrame, own: DataFrame, rules: Rules, n_tasks: int) -> DataFrame:
+    """parcel_id, bin, off (days from the first look), n_looks, span, start and the mean of each value's looks nearest to
+    each bin. looks: parcel_id, day, values; own: as parcels() has them.
+
+    Looks go to their parcel's task once and are averaged there; the bins between two that have looks are made beside them,
+    so all that follows stays in the same tasks. Looks are met by the hash of a task's few parcels and not sorted."""
     nearest = F.least(F.bround(F.datediff("day", "start") / rules.step), F.col("last")).cast("int")
-    binned = looks.join(own.select("parcel_id", "start", "last"), "parcel_id").groupBy("parcel_id", nearest.alias("bin")).agg(*[F.avg(v).alias(v) for v in values])
-    return every.join(binned, ["parcel_id", "bin"], "left")
+    facts = ["parcel_id", "start", "span", "last", "n_looks", "n_evi"]
+    met = looks.select("parcel_id", "day", *VALUES).repartition(n_tasks, "parcel_id").join(own.select(*facts).repartition(n_tasks, "parcel_id").hint("shuffle_hash"), "parcel_id")
+    binned = met.groupBy(*facts, nearest.alias("from")).agg(*[F.avg(v).alias(v) for v in VALUES]).where("from IS NOT NULL")
+    until = F.coalesce(F.lead("from").over(Window.partitionBy("parcel_id").orderBy("from")) - 1, F.col("last"))
+    every = binned.withColumn("until", until).withColumn("bin", F.explode(F.sequence("from", "until")))
+    return every.withColumns({v: F.when(F.col("bin") == F.col("from"), F.col(v)) for v in VALUES}).withColumn("off", F.least(F.col("bin") * rules.step, F.col("span"))).drop("from", "until")
 
 
-def _before(value: Column) -> Column:
-    """The last value before the bin."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy("parcel_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+def _rising() -> Window:
+    return Window.partitionBy("parcel_id").orderBy("bin")
 
 
-def _after(value: Column) -> Column:
-    """The first value after it; in falling order, since a frame that only ends with the partition is read anew for each row."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy("parcel_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
+def _falling() -> Window:
+    """Bins from the last to the first: what comes after a bin is read in this order, since a frame that only ends with the
+    partition is read anew for each row."""
+    return Window.partitionBy("parcel_id").orderBy(F.desc("bin"))
 
 
-def with_edges(grid: DataFrame, value: str, empty: float) -> DataFrame:
+def with_sides(grid: DataFrame, values: tuple[str, ...] = VALUES) -> DataFrame:
+    """Of each value the first and last bin that have it (__first_ and __last_), with the slope there, and of each bin the
+    nearest before and after it (__a_ and __b_): struct(bin, y). All values share two orders of a parcel's bins, rising and
+    then falling, so rows are sorted twice however many values there are; they come out falling."""
+    slopes = {f"__{name}_{v}": x for v in values for name, x in (("up", F.lead(v).over(_rising()) - F.col(v)), ("down", F.col(v) - F.lag(v).over(_rising())))}
+    side = lambda v, *more: F.when(F.col(v).isNotNull(), F.struct("bin", F.col(v).alias("y"), *more))
+    whole, back = _rising().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), (Window.unboundedPreceding, -1)
+    rising = {}
+    for v in values:
+        rising[f"__first_{v}"] = F.first(side(v, F.col(f"__up_{v}").alias("slope")), ignorenulls=True).over(whole)
+        rising[f"__last_{v}"] = F.last(side(v, F.col(f"__down_{v}").alias("slope")), ignorenulls=True).over(whole)
+        rising[f"__a_{v}"] = F.last(side(v), ignorenulls=True).over(_rising().rowsBetween(*back))
+    falling = {f"__b_{v}": F.last(side(v), ignorenulls=True).over(_falling().rowsBetween(*back)) for v in values}
+    return grid.withColumns(slopes).withColumns(rising).drop(*slopes).withColumns(falling)
+
+
+def with_edges(value: str, empty: float) -> Column:
     """The value led on past its first and last bin by the slope of the two bins there; `empty` where there is none."""
-    by, whole = Window.partitionBy("parcel_id").orderBy("bin"), Window.partitionBy("parcel_id")
-    held = F.when(F.col(value).isNotNull(), F.struct("bin", F.col(value).alias("y"), (F.lead(value).over(by) - F.col(value)).alias("up"), (F.col(value) - F.lag(value).over(by)).alias("down")))
-    ends = grid.withColumn("__end", held).withColumns({"__first": F.min_by("__end", F.when(F.col("__end").isNotNull(), F.col("bin"))).over(whole), "__last": F.max_by("__end", F.when(F.col("__end").isNotNull(), F.col("bin"))).over(whole)})
-    zero = F.lit(0.0)
-    led = (
-        F.when(F.col("__first").isNull(), F.lit(empty))
-        .when(F.col("bin") < F.col("__first.bin"), F.col("__first.y") - F.coalesce("__first.up", zero) * (F.col("__first.bin") - F.col("bin")))
-        .when(F.col("bin") > F.col("__last.bin"), F.col("__last.y") + F.coalesce("__last.down", zero) * (F.col("bin") - F.col("__last.bin")))
+    first, last, zero = F.col(f"__first_{value}"), F.col(f"__last_{value}"), F.lit(0.0)
+    return (
+        F.when(first.isNull(), F.lit(empty))
+        .when(F.col("bin") < first["bin"], first["y"] - F.coalesce(first["slope"], zero) * (first["bin"] - F.col("bin")))
+        .when(F.col("bin") > last["bin"], last["y"] + F.coalesce(last["slope"], zero) * (F.col("bin") - last["bin"]))
         .otherwise(F.col(value))
     )
-    return ends.withColumn(value, led).drop("__end", "__first", "__last")
 
 
 def _run(value: str) -> tuple[Column, Column, Column, Column]:
     """Of an empty bin: the values on either side of its run, the run's length, and the bin's place in it from 1."""
-    side = F.when(F.col(value).isNotNull(), F.struct("bin", F.col(value).alias("y")))
-    a, b = _before(side), _after(side)
+    a, b = F.col(f"__a_{value}"), F.col(f"__b_{value}")
     return a["y"], b["y"], b["bin"] - a["bin"] - 1, F.col("bin") - a["bin"]
 
 
-def fill_short(grid: DataFrame, value: str, rules: Rules) -> DataFrame:
+def fill_short(value: str, rules: Rules) -> Column:
     """Runs of empty bins of short_days at most, by a straight line."""
     y0, y1, n, k = _run(value)
     short = F.col(value).isNull() & (n * rules.step <= rules.short_days)
-    return grid.withColumn(value, F.when(short, y0 + (y1 - y0) * k / (n + 1)).otherwise(F.col(value)))
+    return F.when(short, y0 + (y1 - y0) * k / (n + 1)).otherwise(F.col(value))
 
 
-def fill_long(grid: DataFrame, value: str, rules: Rules, reference: str | None = None) -> DataFrame:
-    """The other runs: a hat where the reference falls after the run, as it does past a peak that nobody saw; a line from
-    one side to the other elsewhere."""
-    by = Window.partitionBy("parcel_id").orderBy("bin")
-    near = F.array_compact(F.array(*[F.lead(reference or value, j).over(by) for j in range(rules.look_after)]))
+def fill_long(grid: DataFrame, values: tuple[str, ...], rules: Rules, reference: str) -> DataFrame:
+    """The other runs of the values: a hat where the reference falls after the run, as it does past a peak that nobody saw; a
+    line from one side to the other elsewhere. Runs that are left after fill_short() have the sides they had before it."""
+    ahead = F.array_compact(F.array(F.col(reference), *[F.lag(reference, j).over(_falling()) for j in range(1, rules.look_after)]))
+    near = F.col("__near")
     falls = (F.size(near) >= 3) & ((F.element_at(near, -1) + F.element_at(near, -2)) / 2 < (F.get(near, 0) + F.get(near, 1)) / 2 - rules.decline)
-    marked = grid.withColumn("__falls", F.when(F.col(value).isNotNull(), falls))
-    y0, y1, n, k = _run(value)
-    marked = marked.withColumns({"__y0": y0, "__y1": y1, "__n": n, "__x": k / (n + 1), "__k": k, "__hat": _after(F.col("__falls"))})
-    y0, y1, x = F.col("__y0"), F.col("__y1"), F.col("__x")
-    base = F.greatest(y0, y1, F.lit(0.18))
-    top = F.least(F.lit(0.82), base + F.least(F.lit(0.22), 0.35 * F.greatest(F.lit(0.0), 0.55 - F.least(y0, y1))))
-    turn = F.when(y1 < y0 + 0.08, 0.50).otherwise(0.58)
-    hat = F.when(x <= turn, y0 + (top - y0) * (x / turn)).otherwise(top + (y1 - top) * ((x - turn) / (1 - turn)))
-    line = F.when(F.col("__n") == 1, y0).otherwise(y0 + (y1 - y0) * (F.col("__k") - 1) / (F.col("__n") - 1))
-    filled = F.least(F.lit(1.0), F.greatest(F.lit(-0.1), F.when(F.col("__hat"), hat).otherwise(line)))
-    long = F.col(value).isNull() & (F.col("__n") * rules.step >= rules.long_days)
-    return marked.withColumn(value, F.when(long, filled).otherwise(F.col(value))).drop("__falls", "__y0", "__y1", "__n", "__x", "__k", "__hat")
-
-
-def regular(looks: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    marked = grid.withColumn("__near", ahead).withColumn("__falls", falls).drop("__near")
+    after = _falling().rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumns({f"__hat_{v}": F.last(F.when(F.col(v).isNotNull(), F.col("__falls")), ignorenulls=True).over(after) for v in values})
+
+    def filled(value: str) -> Column:
+        y0, y1, n, k = _run(value)
+        x = k / (n + 1)
+        base = F.greatest(y0, y1, F.lit(0.18))
+        top = F.least(F.lit(0.82), base + F.least(F.lit(0.22), 0.35 * F.greatest(F.lit(0.0), 0.55 - F.least(y0, y1))))
+        slow = y1 < y0 + 0.08
+        turn, rest = F.when(slow, 0.50).otherwise(0.58), F.when(slow, 0.50).otherwise(0.42)  # 1 - 0.58 is not 0.42 to the last bit
+        hat = F.when(x <= turn, y0 + (top - y0) * (x / turn)).otherwise(top + (y1 - top) * ((x - turn) / rest))
+        line = F.when(n == 1, y0).otherwise(y0 + (y1 - y0) * (k - 1) / (n - 1))
+        shaped = F.least(F.lit(1.0), F.greatest(F.lit(-0.1), F.when(F.col(f"__hat_{value}"), hat).otherwise(line)))
+        return F.when(F.col(value).isNull() & (n * rules.step >= rules.long_days), shaped).otherwise(F.col(value))
+
+    return marked.withColumns({v: filled(v) for v in values}).drop("__falls", *[f"__hat_{v}" for v in values])
+
+
+def smoothed(value: str) -> Column:
+    """The triangular mean of five bins, fewer at the ends. The middle comes first in the sum, then its neighbours, before
+    and after in turn: thresholds meet exact ties, where another order's last bit would decide otherwise."""
+    v, zero = F.col(value), F.lit(0.0)
+    before, after = (lambda j: F.coalesce(F.lead(value, j).over(_falling()), zero)), (lambda j: F.coalesce(F.lag(value, j).over(_falling()), zero))
+    beside = lambda test: test.cast("int")
+    first, last = F.col("bin"), F.col("last") - F.col("bin")
+    weights = 3 + 2 * beside(first > 0) + 2 * beside(last > 0) + beside(first > 1) + beside(last > 1)
+    return (3 * v + 2 * before(1) + 2 * after(1) + before(2) + after(2)) / weights
+
+
+def regular(looks: DataFrame, rules: Rules = Rules(), own: DataFrame | None = None, n_tasks: int | None = None) -> DataFrame:
     """A row a parcel and bin: ndvi, evi, ndmi without a gap, seen (a look with NDVI fell in the bin), the composite v and
-    the smoothed w of ndvi. Where under 30 % of looks have an EVI it is taken from NDVI."""
-    grid = snapped(looks, rules).withColumn("seen", F.col("ndvi").isNotNull())
-    for value, empty in (("ndvi", 0.22), ("ndmi", 0.0), ("evi", 0.22)):
-        grid = fill_short(with_edges(grid, value, empty), value, rules)
-    for value in ("ndvi", "ndmi", "evi"):
-        grid = fill_long(grid, value, rules, None if value == "ndvi" else "ndvi")
+    the smoothed w of ndvi. Where under 30 % of looks have an EVI it is taken from NDVI. own and n_tasks are worked out
+    unless given."""
+    own = parcels(looks, rules) if own is None else own
+    grid = snapped(looks, own, rules, n_tasks or tasks(own)).withColumn("seen", F.col("ndvi").isNotNull())
+    grid = with_sides(grid).withColumns({v: with_edges(v, empty) for v, empty in (("ndvi", 0.22), ("ndmi", 0.0), ("evi", 0.22))})
+    grid = grid.withColumns({v: fill_short(v, rules) for v in VALUES})
+    grid = fill_long(fill_long(grid, ("ndvi",), rules, "ndvi"), ("ndmi", "evi"), rules, "ndvi")
     clipped = lambda x, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
     grid = grid.withColumns({"ndvi": clipped(F.col("ndvi"), -0.1, 1.0), "ndmi": clipped(F.col("ndmi"), -0.6, 0.8)})
     evi = F.when(F.col("n_evi") < 0.30 * F.col("n_looks"), 0.85 * F.col("ndvi") + 0.02).otherwise(F.col("evi"))
     grid = grid.withColumn("evi", clipped(evi, 0.0, 1.0))
     grid = grid.withColumn("cvi", clipped(0.5 * F.col("ndvi") + 0.3 * F.col("evi") + 0.2 * F.col("ndmi"), 0.0, 1.0))
-    smooth = lambda c: triangular(F.col(c), ["parcel_id"], "bin", half=2)
-    kept = grid.withColumns({"v": smooth("cvi"), "w": smooth("ndvi")})
+    kept = grid.withColumns({"v": smoothed("cvi"), "w": smoothed("ndvi")})
     return kept.select("parcel_id", "bin", "off", "start", "span", "last", "seen", "ndvi", "evi", "ndmi", "v", "w")
 
 
@@ -181,7 +230,7 @@ def regular(looks: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def _is_peak(value: str, floor: float, prominence: float, window: int, reach: int, rules: Rules) -> Column:
     """Whether a bin is a local maximum over the floor that stands clear of the ground on one side at least."""
-    by = Window.partitionBy("parcel_id").orderBy("bin")
+    by = _falling()  # as regular() leaves them; the frames are the same on both sides
     v = F.col(value)
     top = F.max(v).over(by.rowsBetween(-window, window))
     drop = v - F.least(F.min(v).over(by.rowsBetween(-reach, 0)), F.min(v).over(by.rowsBetween(0, reach)))
@@ -405,10 +454,11 @@ def detected(arrays: DataFrame, rules: Rules = Rules(), hint: Column | None = No
 # ---------------------------------------------------------------- what a cycle is
 
 
-def gaps(looks: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def gaps(looks: DataFrame, rules: Rules = Rules(), n_tasks: int | None = None) -> DataFrame:
     """parcel_id and gaps: the stretches of gap_days or more between neighbouring looks, and those between neighbouring
-    looks that have an NDVI; array of struct(from, to, days)."""
-    days = looks.groupBy("parcel_id", "day").agg(F.count("ndvi").alias("n"))
+    looks that have an NDVI; array of struct(from, to, days). With n_tasks parcels are shared by so many tasks."""
+    days = looks.select("parcel_id", "day", "ndvi")
+    days = (days.repartition(n_tasks, "parcel_id") if n_tasks else days).groupBy("parcel_id", "day").agg(F.count("ndvi").alias("n"))
     by = Window.partitionBy("parcel_id").orderBy("day")
     every = lambda df: df.withColumn("before", F.lag("day").over(by)).where(F.datediff("day", "before") >= rules.gap_days)
     both = every(days).unionByName(every(days.where("n > 0")))
@@ -503,8 +553,10 @@ def cycles(looks: DataFrame, rules: Rules = Rules(), hint: Column | None = None)
 
     The arrays and the cycles found are written between, a row a parcel each: both are read several times.
     """
-    arrays = written(as_arrays(regular(looks, rules), rules))
-    rows = described(written(detected(arrays, rules, hint)), gaps(looks, rules), rules)
+    own = parcels(looks, rules)
+    n_tasks = tasks(own)
+    arrays = written(as_arrays(regular(looks, rules, own, n_tasks), rules))
+    rows = described(written(detected(arrays, rules, hint)), gaps(looks, rules, n_tasks).hint("shuffle_hash"), rules)
     kind, label = season(F.col("sown"), F.col("harvested"))
     stays = F.col("kind") == "perennial"
     named = {"season": F.when(stays, "perennial").otherwise(kind), "season_label": F.when(stays, F.concat(F.lit("Production year "), F.year("sown"))).otherwise(label)}
