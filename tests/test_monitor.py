@@ -65,6 +65,22 @@ def test_daily_state_is_the_recurrence(spark):
     assert {w.kind for w in got} == {"optical", "radar", "coarse", "inferred"}
 
 
+def test_daily_states_move_on_in_batches_of_fields(spark):
+    """Seasons of unlike lengths side by side, more fields than a batch has, and no fold that copies its days at each step."""
+    rows = [(f"{r[0]}{k}", *r[1:]) for k in range(monitor.FIELDS_AT_ONCE // 2) for r in made_days() if r[1] < 5 + k % 40]
+    states = monitor.daily_state(spark.createDataFrame(rows, DAY).repartition(1))
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+    got = {}
+    for r in states.collect():
+        got.setdefault(r.field_id, []).append(r)
+    assert len(got) == 3 * (monitor.FIELDS_AT_ONCE // 2)
+    for name in ("a0", "b7", f"c{monitor.FIELDS_AT_ONCE // 2 - 1}"):
+        own, want = sorted(got[name], key=lambda r: r.d), walked([r for r in rows if r[0] == name])
+        assert [(r.d, r.kind) for r in own] == [(w[0], w[-1]) for w in want]
+        assert [x for r in own for x in (r.cover, r.water, r.biomass, r.gain, r.uncertainty)] == pytest.approx([x for w in want for x in w[1:6]])
+
+
 def test_irrigation_needs_a_dry_week_and_a_dry_neighbourhood(spark):
     wet = [(f, "v", d, x) for f, xs in {"dry": [0.1, 0.1, 0.3], "rained": [0.1, 0.1, 0.3], "small": [0.1, 0.1, 0.15], "late": [0.1, None, 0.3], "shared": [0.1, 0.1, 0.3]}.items() for d, x in zip((0, 4, 8), xs) if x is not None]
     wet = [(f, {"rained": "w", "shared": "u"}.get(f, a), d, x) for f, a, d, x in wet]

@@ -3,14 +3,14 @@ village is below its normal; declared crops against what was seen; and days that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilth.operators.cropcycles import let
-
 
 @dataclass(frozen=True)
 class Prior:
@@ -60,7 +60,33 @@ def warmth(mean: Column, prior: Prior) -> Column:
     return F.when(out, 0.05).otherwise(F.greatest(F.lit(0.05), F.when(mean <= prior.best_temp, rising).otherwise(falling)))
 
 
-STATE = "struct<d:int,cover:double,water:double,biomass:double,gain:double,uncertainty:double,kind:string>"
+#: What corrected a day, and for each the prediction's share of the cover, the look's share, and what is left of uncertainty.
+KINDS = ("inferred", "optical", "radar", "coarse")
+_OWN, _SEEN, _LEFT = np.array([1.0, 0.35, 0.55, 0.70]), np.array([0.0, 0.65, 0.45, 0.30]), np.array([1.0, 0.35, 0.62, 0.80])
+FIELDS_AT_ONCE = 512
+
+
+def moved_on(day: dict[str, np.ndarray], prior: Prior) -> dict[str, np.ndarray]:
+    """cover, water, biomass, gain and uncertainty, a row a field and a column a day: one step a day for all fields at once.
+    day: matrices as daily_state() names them. NaN is the largest value, as it is in Spark."""
+    least, greatest = np.fmin, np.maximum
+    within = lambda x, low=0.0, high=1.0: greatest(low, least(high, x))
+    n, size = day["d"].shape
+    out = {c: np.zeros((n, size)) for c in ("cover", "water", "biomass", "gain", "uncertainty")}
+    cover, water, biomass, unsure = np.full(n, 0.05), np.full(n, 0.55), np.zeros(n), np.full(n, 0.40)
+    for k in range(size):
+        light, heat, loss, fall, irrigated, target, wet, kind = (day[c][:, k] for c in ("light", "heat", "loss", "fall", "irrigated", "target", "wet", "kind"))
+        growing, moist = ~np.isnan(heat), within(water, 0.15)
+        gain = np.where(growing, light * within(1.15 * cover - 0.05, 0.0, 0.95) * heat * moist * 10.0, 0.0)
+        cover = np.where(growing, least(prior.cover_max, cover + 0.018 * greatest(0.0, prior.cover_max - cover) * heat * moist), cover)
+        water = water - loss + fall
+        water = within(np.where(irrigated, greatest(water, 0.75), water))
+        cover = np.where(kind > 0, _OWN[kind] * cover + _SEEN[kind] * target, cover)
+        water = np.where(np.isnan(wet), water, 0.40 * water + 0.60 * wet)
+        biomass, unsure = biomass + gain, least(1.0, unsure + 0.035) * _LEFT[kind]
+        for c, x in zip(out, (cover, water, biomass, gain, unsure)):
+            out[c][:, k] = x
+    return out
 
 
 def daily_state(days: DataFrame, prior: Prior = Prior()) -> DataFrame:
@@ -68,48 +94,46 @@ def daily_state(days: DataFrame, prior: Prior = Prior()) -> DataFrame:
     radar, coarse, or inferred from weather alone).
 
     days: field_id, d, every day of the season once, with tmean, par, et0, rain, irrigated, sown (a day, or null where not
-    known) and what was seen: ndvi, ndmi, rvi, coarse. Missing weather has a mild day's values. The days of a field fold in
-    one array, as long as its season.
+    known) and what was seen: ndvi, ndmi, rvi, coarse. Missing weather has a mild day's values. What a day brings is worked
+    out a row; a field's days then meet in one array, and what hangs on the day before moves on in batches of fields.
     """
     given = {"tmean": prior.best_temp, "par": 8.0, "et0": 4.0, "rain": 0.0}
-    filled = days.select("field_id", "d", *[F.coalesce(F.col(c).cast("double"), F.lit(x)).alias(c) for c, x in given.items()], F.coalesce("irrigated", F.lit(False)).alias("irrigated"), "sown", "ndvi", "ndmi", "rvi", "coarse")
-    series = filled.groupBy("field_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in filled.columns if c != "field_id"]))).alias("days"))
-    first = F.struct(F.lit(0.05).alias("cover"), F.lit(0.55).alias("water"), F.lit(0.0).alias("biomass"), F.lit(0.40).alias("uncertainty"), F.array().cast(f"array<{STATE}>").alias("out"))
-
-    def grown(state: Column, day: Column) -> Column:
-        growing = F.coalesce(day["d"] >= day["sown"], F.lit(False))
-        heat = F.when(growing, warmth(day["tmean"], prior)).otherwise(0.0)
-        moist = _within(state["water"], 0.15)
-        light = _within(1.15 * state["cover"] - 0.05, 0.0, 0.95)
-        gain = F.when(growing, prior.light_use * day["par"] * light * heat * moist * 10.0).otherwise(0.0)
-        spread = F.least(F.lit(prior.cover_max), state["cover"] + 0.018 * F.greatest(F.lit(0.0), prior.cover_max - state["cover"]) * heat * moist)
-        water = state["water"] - 0.025 * (day["et0"] / 5.0) + F.least(day["rain"], F.lit(40.0)) / 25.0
-        water = _within(F.when(day["irrigated"], F.greatest(water, F.lit(0.75))).otherwise(water))
-        return F.struct(
-            F.when(growing, spread).otherwise(state["cover"]).alias("cover"), water.alias("water"), (state["biomass"] + gain).alias("biomass"), gain.alias("gain"),
-            F.least(F.lit(1.0), state["uncertainty"] + 0.035).alias("uncertainty"),
-        )
-
-    def step(state: Column, day: Column) -> Column:
-        optical, radar, coarse = day["ndvi"].isNotNull(), day["rvi"].isNotNull(), day["coarse"].isNotNull()
-        of_ndvi = lambda x: _within((x - 0.12) / 0.72)
-
-        def corrected(s: Column) -> Column:
-            cover = (
-                F.when(optical, 0.35 * s["cover"] + 0.65 * of_ndvi(day["ndvi"]))
-                .when(radar, 0.55 * s["cover"] + 0.45 * _within((day["rvi"] - 0.12) / 0.55))
-                .when(coarse, 0.70 * s["cover"] + 0.30 * of_ndvi(day["coarse"]))
-                .otherwise(s["cover"])
-            )
-            water = F.when(optical & day["ndmi"].isNotNull(), 0.40 * s["water"] + 0.60 * _within((day["ndmi"] + 0.15) / 0.55)).otherwise(s["water"])
-            unsure = s["uncertainty"] * F.when(optical, 0.35).when(radar, 0.62).when(coarse, 0.80).otherwise(1.0)
-            kind = F.when(optical, "optical").when(radar, "radar").when(coarse, "coarse").otherwise("inferred")
-            now = F.struct(day["d"].cast("int").alias("d"), cover.alias("cover"), water.alias("water"), s["biomass"].alias("biomass"), s["gain"].alias("gain"), unsure.alias("uncertainty"), kind.alias("kind"))
-            return let(now, lambda x: F.struct(x["cover"].alias("cover"), x["water"].alias("water"), x["biomass"].alias("biomass"), x["uncertainty"].alias("uncertainty"), F.concat(state["out"], F.array(x.cast(STATE))).alias("out")))
-
-        return let(grown(state, day), corrected)
-
-    return series.select("field_id", F.explode(F.aggregate("days", first, step)["out"]).alias("s")).select("field_id", "s.*")
+    day = days.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(x)) for c, x in given.items()})
+    optical, radar, coarse = F.col("ndvi").isNotNull(), F.col("rvi").isNotNull(), F.col("coarse").isNotNull()
+    of_ndvi = lambda x: _within((x - 0.12) / 0.72)
+    brought = {
+        "light": prior.light_use * F.col("par"),
+        "heat": F.when(F.col("d") >= F.col("sown"), warmth(F.col("tmean"), prior)),  # null: not growing
+        "loss": 0.025 * (F.col("et0") / 5.0),
+        "fall": F.least(F.col("rain"), F.lit(40.0)) / 25.0,
+        "irrigated": F.coalesce("irrigated", F.lit(False)),
+        "target": F.when(optical, of_ndvi(F.col("ndvi"))).when(radar, _within((F.col("rvi") - 0.12) / 0.55)).when(coarse, of_ndvi(F.col("coarse"))),
+        "wet": F.when(optical & F.col("ndmi").isNotNull(), _within((F.col("ndmi") + 0.15) / 0.55)),
+        "kind": F.when(optical, 1).when(radar, 2).when(coarse, 3).otherwise(0),
+    }
+    day = day.select("field_id", F.struct(F.col("d").cast("int").alias("d"), *[c.alias(name) for name, c in brought.items()]).alias("day"))
+    series = day.groupBy("field_id").agg(F.sort_array(F.collect_list("day")).alias("days"))
+    states, given_a_day = ("cover", "water", "biomass", "gain", "uncertainty"), ("d", *brought)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, FIELDS_AT_ONCE):
+                part = batch.slice(start, FIELDS_AT_ONCE)
+                lengths = part.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                flat = dict(zip(given_a_day, part.column(1).flatten().flatten()))
+                days_ = {}
+                for name, values in flat.items():
+                    values = values.to_numpy(zero_copy_only=False)
+                    days_[name] = np.zeros((len(lengths), lengths.max()), values.dtype)
+                    days_[name][row, place] = values
+                out = moved_on(days_, prior)
+                columns = [part.column(0).take(pa.array(row)), flat["d"], *[pa.array(out[c][row, place]) for c in states], flat["kind"]]
+                yield pa.RecordBatch.from_arrays(columns, names=["field_id", "d", *states, "kind"])
+
+    schema = f"field_id {series.schema['field_id'].dataType.simpleString()}, d int, {', '.join(f'{c} double' for c in states)}, kind int"
+    return series.mapInArrow(run, schema).withColumn("kind", F.get(F.array(*map(F.lit, KINDS)), F.col("kind")))
 
 
 def with_progress(states: DataFrame, sowings: DataFrame, prior: Prior = Prior()) -> DataFrame:

@@ -117,8 +117,7 @@ def daily_state(spark, sf_dir):
 
 
 def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _days(spark, sf_dir)
-    states = written(monitor.daily_state(days, P))
+    states = monitor.daily_state(_days(spark, sf_dir), P)
     sown = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("field_id"), F.when(F.col("s_suppkey") % 11 != 0, 30 + F.col("s_suppkey") % 20).alias("sown"))
     return monitor.with_progress(states, sown, P)
 
