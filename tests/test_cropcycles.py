@@ -144,3 +144,29 @@ def test_looks_without_a_day_and_parcels_without_a_name(spark):
     rows = look_rows("p", PROFILES["one"]) + [("p", None, 0.3, 0.2, 0.1)] + [(None, *r[1:]) for r in look_rows("x", PROFILES["one"])]
     got = cc.regular(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.parcel_id for r in got} == {"p"} and sorted(r.bin for r in got) == list(range(len(PROFILES["one"])))
+
+
+def test_candidate_peaks_need_no_sliding_frames(spark):
+    """Bins that a loop over the series names, ends and flat tops included, found without a window beyond the series' own."""
+    noise = np.random.default_rng(11)
+    rows = [r for k in range(12) for r in look_rows(f"p{k}", np.round(0.45 + 0.3 * np.sin(np.arange(70) / (2.0 + k % 4)) + 0.05 * noise.standard_normal(70), 3))]
+    rows += look_rows("flat", [0.2] * 12 + [0.7] * 6 + [0.2] * 12) + look_rows("brief", [0.2, 0.7, 0.2], ()) * 4
+    series = cc.regular(spark.createDataFrame(rows, SCHEMA))
+    arrays = cc.as_arrays(series)
+    windows = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Window [")
+    assert windows(arrays) == windows(series)
+    n_found = 0
+    for r in arrays.collect():
+        for p in cc.passes():
+            a, n = r[p.value], len(r[p.value])
+            drop = lambda j: a[j] - min(a[max(0, j - p.reach) : j + p.reach + 1])  # noqa: B023, E731
+            want = [j for j in range(p.window, n - p.window) if a[j] >= p.peak and a[j] >= max(a[j - p.window : j + p.window + 1]) - 0.005 and drop(j) >= p.prominence]
+            assert r[f"peaks_{p.name}"] == want
+            n_found += len(want)
+    assert n_found > 100
+
+
+def test_halves_of_a_step_go_to_the_even_bin(spark):
+    days = [0, 5, 15, 25, 35, 45, 55, 65, 75, 120]
+    looks = spark.createDataFrame([("p", date(2021, 6, 1) + timedelta(days=d), 0.5, 0.4, 0.1) for d in days], SCHEMA)
+    assert sorted(r.bin for r in cc.regular(looks).where("seen").collect()) == [0, 2, 4, 6, 8, 12]

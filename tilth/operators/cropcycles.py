@@ -1,8 +1,8 @@
 """Crop cycles of irregular looks: a regular grid with shaped gap filling, then passes of peak, sowing and harvest.
 
-The grid, filling, smoothing and candidate peaks are windows over (parcel, bin). What is sequential, a peak's claim on the
-bins before it, folds over a parcel's few peaks in SQL functions, with the parcel's bins as arrays; a parcel's bins are as
-many as its years, however many looks fall in them, for looks are averaged before.
+The grid, filling and smoothing are windows over (parcel, bin). Candidate peaks are read off the parcel's bins as arrays.
+What is sequential, a peak's claim on the bins before it, folds over a parcel's few peaks in SQL functions; a parcel's bins
+are as many as its years, however many looks fall in them, for looks are averaged before.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def snapped(looks: DataFrame, own: DataFrame, rules: Rules, n_tasks: int) -> Dat
 
     Looks go to their parcel's task once and are averaged there; the bins between two that have looks are made beside them,
     so all that follows stays in the same tasks. Looks are met by the hash of a task's few parcels and not sorted."""
-    nearest = F.least(F.bround(F.datediff("day", "start") / rules.step), F.col("last")).cast("int")
+    nearest = F.least(F.rint(F.datediff("day", "start") / rules.step), F.col("last")).cast("int")  # halves go to the even bin
     facts = ["parcel_id", "start", "span", "last", "n_looks", "n_evi"]
     met = looks.select("parcel_id", "day", *VALUES).repartition(n_tasks, "parcel_id").join(own.select(*facts).repartition(n_tasks, "parcel_id").hint("shuffle_hash"), "parcel_id")
     binned = met.groupBy(*facts, nearest.alias("from")).agg(*[F.avg(v).alias(v) for v in VALUES]).where("from IS NOT NULL")
@@ -225,17 +225,7 @@ def regular(looks: DataFrame, rules: Rules = Rules(), own: DataFrame | None = No
     return kept.select("parcel_id", "bin", "off", "start", "span", "last", "seen", "ndvi", "evi", "ndmi", "v", "w")
 
 
-# ---------------------------------------------------------------- candidate peaks
-
-
-def _is_peak(value: str, floor: float, prominence: float, window: int, reach: int, rules: Rules) -> Column:
-    """Whether a bin is a local maximum over the floor that stands clear of the ground on one side at least."""
-    by = _falling()  # as regular() leaves them; the frames are the same on both sides
-    v = F.col(value)
-    top = F.max(v).over(by.rowsBetween(-window, window))
-    drop = v - F.least(F.min(v).over(by.rowsBetween(-reach, 0)), F.min(v).over(by.rowsBetween(0, reach)))
-    inside = (F.col("bin") >= window) & (F.col("bin") <= F.col("last") - window)
-    return inside & (v >= floor) & (v >= top - rules.tolerance) & (drop >= prominence)
+# ---------------------------------------------------------------- passes
 
 
 @dataclass(frozen=True)
@@ -273,12 +263,10 @@ def passes(rules: Rules = Rules()) -> list[Pass]:
 
 def as_arrays(grid: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """A row a parcel: its bins' values as arrays, and the candidate peaks of each pass."""
-    marks = {f"is_{p.name}": _is_peak(p.value, p.peak, p.prominence, p.window, p.reach, rules) for p in passes(rules)}
-    held = F.struct("bin", "off", "seen", "ndvi", "evi", "ndmi", "v", "w", *marks)
-    own = grid.withColumns(marks).groupBy("parcel_id").agg(F.sort_array(F.collect_list(held)).alias("bins"), F.first("start").alias("start"), F.first("span").alias("span"))
+    held = F.struct("bin", "off", "seen", "ndvi", "evi", "ndmi", "v", "w")
+    own = grid.groupBy("parcel_id").agg(F.sort_array(F.collect_list(held)).alias("bins"), F.first("start").alias("start"), F.first("span").alias("span"))
     columns = {c: F.col(f"bins.{c}") for c in ("off", "seen", "ndvi", "evi", "ndmi", "v", "w")}
-    marked = lambda name: F.transform(F.filter("bins", lambda b: b[name]), lambda b: b["bin"])
-    peaks = {f"peaks_{p.name}": marked(f"is_{p.name}") for p in passes(rules)}
+    peaks = {f"peaks_{p.name}": _peaks(columns[p.value], p, rules) for p in passes(rules)}
     return own.select("parcel_id", "start", "span", *[c.alias(n) for n, c in (columns | peaks).items()])
 
 
@@ -309,6 +297,23 @@ def _lowest(a: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi >= lo, lo + F.array_position(_part(a, lo, hi), F.array_min(_part(a, lo, hi))).cast("int") - 1)
 
 
+def _peaks(series: Column, p: Pass, rules: Rules) -> Column:
+    """The bins that are a local maximum over the floor and stand clear of the ground on one side at least. The floor is asked
+    first, so only what lies over it is held against the bins beside it; a sliding frame would read them for every bin."""
+
+    def over(a: Column) -> Column:
+        lo, hi = F.lit(p.window), F.size(a) - 1 - p.window
+
+        def is_peak(j: Column) -> Column:
+            v, top = F.get(a, j), F.array_max(_part(a, j - p.window, j + p.window))
+            ground = F.least(F.array_min(_part(a, F.greatest(F.lit(0), j - p.reach), j)), F.array_min(_part(a, j, j + p.reach)))
+            return (v >= p.peak) & (v >= top - rules.tolerance) & (v - ground >= p.prominence)
+
+        return F.when(hi >= lo, F.filter(F.sequence(lo, hi), is_peak)).otherwise(F.array().cast("array<int>"))
+
+    return let(series, over)
+
+
 def apart(peaks: Column, signal: Column, separation: int) -> Column:
     """Of peaks closer than the separation the higher, from left to right."""
 
